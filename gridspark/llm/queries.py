@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import mixing, quality_rules
+from gridspark.llm import language_id, mixing, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,13 +18,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(_documents(spark, sf_dir))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_report(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_store, op9_mixing)}
 ORACLES: dict[str, str] = {}
