@@ -156,7 +156,15 @@ def crc_of_id(ids: list) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- packed arrays
-_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_zstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def press(raw: bytes) -> bytes:
+    return _zstd[0].compress(raw)
+
+
+def unpress(blob: bytes) -> bytes:
+    return _zstd[1].decompress(blob)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -167,14 +175,14 @@ def pack(*arrays: np.ndarray) -> bytes:
     n = len(arrays[0])
     keys = np.diff(arrays[0], prepend=np.uint64(0))
     head = np.array([n, *(ord(a.dtype.kind) << 8 | a.dtype.itemsize for a in arrays)], np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T.tobytes() for a in (keys, *arrays[1:])]
-    return np.int64(len(arrays)).tobytes() + head.tobytes() + _press.compress(b"".join(planes))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(n, a.dtype.itemsize).T.tobytes() for a in (keys, *arrays[1:])]
+    return np.int64(len(arrays)).tobytes() + head.tobytes() + press(b"".join(planes))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     k = int(np.frombuffer(blob, np.int64, 1)[0])
     n, *kinds = np.frombuffer(blob, np.int64, k + 1, 8).tolist()
-    raw, at, out = _open.decompress(blob[8 * (k + 2) :]) if n else b"", 0, []
+    raw, at, out = unpress(blob[8 * (k + 2) :]) if n else b"", 0, []
     for kind in kinds:
         size = kind & 255
         dtype = np.dtype(f"{chr(kind >> 8)}{size}")
@@ -222,3 +230,46 @@ def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFra
         labels = new.select("node", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component")
+
+
+# ---------------------------------------------------------------- bounded filters
+BLOOM_BITS, BLOOM_BLOCK = 1 << 26, 1 << 19
+
+
+def _bloom_positions(hashes: np.ndarray) -> np.ndarray:
+    h = mix(hashes)
+    with np.errstate(over="ignore"):
+        return np.concatenate([(h + np.uint64(i) * mix(h ^ np.uint64(BASES[1]))) % np.uint64(BLOOM_BITS) for i in (0, 1, 2)]).astype(np.int64)
+
+
+def bloom(spark: SparkSession, longs: DataFrame) -> np.ndarray:
+    """Bloom filter over a frame of one long column: 8 MB at any size of the data.
+
+    It only saves work: a value that isn't in the frame may pass, none that is fails.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _bloom_positions(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = seen.reshape(-1, BLOOM_BLOCK // 8)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([press(parts[i].tobytes()) for i in some], pa.binary())], ["block", "bits"])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOOM_BLOCK // 8, np.uint8)
+        for blob in table["bits"].to_pylist():
+            total |= np.frombuffer(unpress(blob), np.uint8)
+        return pa.table({"block": table["block"][:1], "bits": pa.array([press(total.tobytes())], pa.binary())})
+
+    schema = "block long, bits binary"
+    out = np.zeros((BLOOM_BITS // BLOOM_BLOCK, BLOOM_BLOCK // 8), np.uint8)
+    for r in longs.distinct().mapInArrow(blocks, schema).groupBy("block").applyInArrow(merge, schema).collect():
+        out[r.block] = np.frombuffer(unpress(r.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def bloom_has(filter_bits: np.ndarray, longs: np.ndarray) -> np.ndarray:
+    at = _bloom_positions(longs.view(np.uint64))
+    return ((filter_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(3, -1).all(axis=0)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import language_id, mixing, quality_rules, token_store
+from gridspark.llm import jaccard_join, language_id, mixing, quality_rules, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,9 +36,13 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_report(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_store, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_store, op6_jaccard_join, op9_mixing)}
 ORACLES: dict[str, str] = {}
