@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import jaccard_join, language_id, mixing, quality_rules, token_store
+from gridspark.llm import jaccard_join, kneser_ney, language_id, mixing, quality_rules, suffix_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(_documents(spark, sf_dir))
 
@@ -40,9 +44,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_report(_documents(spark, sf_dir))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.lm_report(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_store, op6_jaccard_join, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op5_token_store, op6_jaccard_join, op8_kneser_ney, op9_mixing)}
 ORACLES: dict[str, str] = {}

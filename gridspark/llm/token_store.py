@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import common as C
+from gridspark.llm.files import get, open_fs, put
 
 #: Pieces a worker's cache holds before it starts afresh (about 170 MB).
 PIECES = 800_000
@@ -123,26 +124,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-# ---------------------------------------------------------------- files
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
-def put(uri: str, *chunks: bytes) -> None:
-    fs, path = open_fs(uri)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as f:
-        for chunk in chunks:
-            f.write(chunk)
-    fs.move(own, path)
-
-
-def get(uri: str) -> bytes:
-    fs, path = open_fs(uri)
-    with fs.open_input_file(path) as f:
-        return f.read()
-
-
 # ---------------------------------------------------------------- minimal perfect hash
 def key_hashes(keys: pa.Array) -> np.ndarray:
     """64-bit hash of each key (integers or strings; null has one of its own)."""
