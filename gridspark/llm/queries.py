@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import jaccard_join, kneser_ney, language_id, mixing, quality_rules, suffix_dedup, token_store
+from gridspark.llm import decontaminate, jaccard_join, kneser_ney, language_id, mixing, quality_rules, suffix_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_report(_documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.lm_report(_documents(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op5_token_store, op6_jaccard_join, op8_kneser_ney, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op5_token_store, op6_jaccard_join, op7_decontaminate, op8_kneser_ney, op9_mixing)}
 ORACLES: dict[str, str] = {}
