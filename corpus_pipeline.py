@@ -1,4 +1,9 @@
-"""From raw documents to token files: the operators of ``gridspark.llm`` one after the other."""
+"""From raw documents to token files: operators of ``gridspark.llm`` one after the other.
+
+Every stage takes what its predecessor kept; all but the last return the columns of
+``documents``.  ``run`` writes each result to the shared folder and reads it again, so that a
+lost executor never costs more than the stage at hand.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +11,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import common, mixing, quality_rules
+from gridspark.llm import common, decontaminate, jaccard_join, mixing, quality_rules, token_store
+from gridspark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that the quality rules reject go."""
     return quality_rules.quality_filter(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of linked documents the one of least id stays."""
+    return jaccard_join.first_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: sources at their target weights, a document as often as the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("mixing", mix)]
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the token store of what is left, read back."""
+    return token_store.token_report(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", tokenized),
+]
 
-#: Suffix of no stage can be put in SQL as a whole: the tests hold run() against brute force.
+#: The near-duplicate, retrieval and tokenizing stages aren't SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = common.written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (_, stage) in enumerate(STAGES):
+        docs = common.written(spark, stage(spark, docs, sf_dir), f"stage-{i}")
     return docs

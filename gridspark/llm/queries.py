@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontaminate, jaccard_join, kneser_ney, language_id, mixing, quality_rules, suffix_dedup, token_store
+from gridspark.llm import decontaminate, jaccard_join, kneser_ney, language_id, mixing, quality_rules, suffix_dedup, token_store, warc, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(_documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_report(_documents(spark, sf_dir), tokenizer_path())
 
@@ -56,5 +60,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op5_token_store, op6_jaccard_join, op7_decontaminate, op8_kneser_ney, op9_mixing)}
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.quality_scores(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_warc, op5_token_store, op6_jaccard_join, op7_decontaminate, op8_kneser_ney, op9_mixing, op10_weak_labels)}
 ORACLES: dict[str, str] = {}
