@@ -28,11 +28,13 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +43,41 @@ from gridspark.llm import common as C
 from gridspark.llm.files import get, open_fs, put
 
 #: Pieces a worker's cache holds before it starts afresh (about 170 MB).
-PIECES = 800_000
+PIECES = 700_000
 KEYS_PER_BUCKET = 100_000
 LEVELS = 48
+#: How a byte-level tokenizer cuts a text and which characters stand for its bytes.
+BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _plain)}
 INDEX_ROW = np.dtype([("print", "<u4"), ("shard", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 
 
 # ---------------------------------------------------------------- text to ids
+class Pieces(dict):
+    """piece of text -> packed ids, found when first asked for (twice bounded: here and in ``parts``)."""
+
+    def __init__(self, tokenizer, code: str) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.code, self.parts = tokenizer, tokenizer.model, code, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+            self.parts.clear()
+        if not piece.isascii() and max(piece) >= "\u0250":
+            got = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        else:  # Latin: cut by the pattern and given to the model part by part
+            got = b"".join([self.parts.get(x) or self.part(x) for x in BYTE_LEVEL.findall(piece)])
+        self[piece] = got
+        return got
+
+    def part(self, part: str) -> bytes:
+        mapped = part.replace(" ", BYTES[32]) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTES)
+        got = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return got
+
+
 class Encoder:
     """Ids of whole texts as packed bytes, by the tokenizer in ``path``.
 
@@ -65,53 +95,27 @@ class Encoder:
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"[^\S \n]", "\x01", *added]))
-        self.pieces: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if "\n" not in self.pieces:
-            for x in ("\n", " "):
-                self.pieces[x] = self._packed(self.tokenizer.encode(x, add_special_tokens=False).ids)
-            self.pieces[""] = b""
-            new = [x for x in new if x not in self.pieces]
-        end = int(np.frombuffer(self.pieces["\n"], self.dtype)[0])
-        step = 1000
-        groups = [new[i : i + step] for i in range(0, len(new), step)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.dtype)
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            cuts = [-1, *np.flatnonzero(ids == end).tolist(), len(ids)]
-            for piece, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
-                self.pieces[piece] = raw[(a + 1) * size : b * size]
+        self.added = re.compile("|".join(added)) if added else None
+        self.pieces = Pieces(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I")
+
+    def _apart(self, text: str) -> bool:
+        """Whether every white space in ``text`` is one space or line feed between other characters."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
+            return False
+        return self.added is None or not self.added.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        if not self.by_piece:
-            for i, got in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                out[i] = self._packed(got.ids)
-            return out
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        pieces, new, again, whole = self.pieces, set(), [], []
-        for i, text in enumerate(texts):
-            if self.whole.search(text):
-                whole.append(i)
-                continue
-            parts = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-            try:
-                out[i] = b"".join(map(pieces.__getitem__, parts))
-            except KeyError:
-                new.update(x for x in parts if x not in pieces)
-                again.append((i, parts))
-        if new:
-            self._learn(list(new))
-        for i, parts in again:
-            out[i] = b"".join(map(pieces.__getitem__, parts))
+        whole = list(range(len(texts)))
+        if self.by_piece:
+            get_ids, whole = self.pieces.__getitem__, []
+            for i, text in enumerate(texts):
+                if self._apart(text):
+                    out[i] = b"".join(map(get_ids, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")))
+                else:
+                    whole.append(i)
         for i, got in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else [], strict=True):
-            out[i] = self._packed(got.ids)
+            out[i] = np.array(got.ids, self.dtype).tobytes()
         return out
 
 
