@@ -187,12 +187,12 @@ def flow_dir_mfd(dem: Grid) -> Grid:
     """Packed weights in proportion to slopes; flats send flow to all nearer neighbours of their height."""
     local = cut(d8_local(dem).filter("v is not null").withColumn("i", number(dem)))
     slopes = [F.when(F.col("v") > F.col(f"n{k}"), (F.col("v") - F.col(f"n{k}")) / STEP[k]).otherwise(0.0) for k in range(8)]
-    total = reduce(lambda a, b: a + b, slopes)
+    total = F.nullif(reduce(lambda a, b: a + b, slopes), F.lit(0.0))
     down = local.filter("d is not null").select("i", pack([F.floor(0.5 + s / total * 15) for s in slopes]).alias("v"))
     flat = local.filter("d is null")
     drained = flat.filter(_outward().isNotNull())
     outs = [F.when(F.col(f"n{k}").isNull(), 1.0 / STEP[k]).otherwise(0.0) for k in range(8)]
-    out_total = reduce(lambda a, b: a + b, outs)
+    out_total = F.nullif(reduce(lambda a, b: a + b, outs), F.lit(0.0))
     # distances over the flat: to lower neighbours first, to the edge of the data where there are none
     ways = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(STEP[k]).alias("step")) for k in range(8))))
     every = local.select(F.col("i").alias("j"), F.col("v").alias("u"))
@@ -223,7 +223,7 @@ def _distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def edges_mfd(flow: Grid) -> DataFrame:
     """(i, j, k, p): where a cell's flow goes and the share that takes each way; j is NULL off the data."""
-    total = reduce(lambda a, b: a + b, (unpack(F.col("v"), k) for k in range(8)))
+    total = F.nullif(reduce(lambda a, b: a + b, (unpack(F.col("v"), k) for k in range(8))), F.lit(0))
     ways = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), unpack(F.col("v"), k).alias("w")) for k in range(8))))
     own = flow.px.filter("v is not null and v <> 0").select("y", "x", total.alias("t"), ways.alias("s")).filter("s.w > 0")
     out = own.select(number(flow).alias("i"), moved(flow, F.col("s.k")).alias("j"), F.col("s.k").alias("k"), (F.col("s.w") / F.col("t")).alias("p"))

@@ -12,12 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.functions import crs as projections
 from gridspark.functions import wkb
 from gridspark.operators.model import Grid
 
-BBOX = "struct<minx:double,miny:double,maxx:double,maxy:double>"
+BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy")])
 
 
 @F.pandas_udf(BBOX)

@@ -429,7 +429,7 @@ def mfd_pack(spark: SparkSession, d: str) -> DataFrame:
     q = views.qty(spark, d)
     local = flow.d8_local(q).filter("d is not null")
     slopes = [F.when(F.col("v") > F.col(f"n{k}"), (F.col("v") - F.col(f"n{k}")) / flow.STEP[k]).otherwise(0.0) for k in range(8)]
-    total = sum(slopes[1:], slopes[0])
+    total = F.nullif(sum(slopes[1:], slopes[0]), F.lit(0.0))
     packed = flow.pack([F.floor(0.5 + s / total * 15) for s in slopes])
     return local.select("y", "x", packed.alias("v")).select("y", "x", F.when(F.col("v") < 0, F.col("v") + F.lit(1 << 32)).otherwise(F.col("v")).cast("long").alias("v"))
 

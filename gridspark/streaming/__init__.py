@@ -1 +1 @@
-
+"""No streaming operators: nothing in this engine's scope reads an unbounded input."""
