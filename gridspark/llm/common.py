@@ -212,14 +212,42 @@ def by_bucket(keys: np.ndarray, buckets: np.ndarray, n: int) -> Iterator[tuple[i
 
 
 # ---------------------------------------------------------------- connected components
+#: Links that one task joins at once (16 MB); beyond it the rounds below take over.
+ONE_TASK = 1 << 20
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], ["node", "component"])
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges``, for nodes with an edge.
 
-    Rounds of neighbour minimum and pointer jumping over tables in the shared folder; the
-    driver sees one number a round.  Every node keeps a label that is a node of its own
-    component and never grows, so the loop ends when no label changes.
+    Up to ``ONE_TASK`` links are joined by union-find in a single task, whose memory that bounds.
+    More take rounds of neighbour minimum and pointer jumping over tables in the shared folder,
+    with the same result: every node keeps a label that is a node of its own component and
+    never grows, so the loop ends when no label changes.  The driver sees one number a round.
     """
-    both = written(spark, edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    pairs = written(spark, edges.select(F.col(a).alias("u"), F.col(b).alias("v")), "edges")
+    if pairs.count() <= ONE_TASK:
+        return written(spark, pairs.repartition(1).mapInArrow(_union, "node long, component long"), "labels")
+    return _rounds(spark, pairs)
+
+
+def _rounds(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    both = written(spark, pairs.union(pairs.select("v", "u")).distinct(), "both")
     labels = written(spark, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     while True:
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
