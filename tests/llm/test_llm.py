@@ -239,6 +239,16 @@ def test_decontamination(spark, empty):
     assert (20, 0) not in {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, keyed).collect()}
 
 
+def test_decontamination_finds_all_of_many_items(spark):
+    """Items far beyond the rank of the latent space, each verbatim in one document."""
+    rng = random.Random(11)
+    plain = lambda n: " ".join(f"w{min(int(rng.paretovariate(0.4)), 30_000)}" for _ in range(n))
+    items = [plain(rng.randint(15, 59)) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, f"{plain(80)} {t} {plain(80)}") for i, t in enumerate(items)], "doc_id long, text string").repartition(4)
+    got = decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).filter("doc_id = item_id").collect()
+    assert len(got) == len(items) and all(r.cover == 1 for r in got)
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(30):
