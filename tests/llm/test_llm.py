@@ -249,6 +249,24 @@ def test_decontamination_finds_all_of_many_items(spark):
     assert len(got) == len(items) and all(r.cover == 1 for r in got)
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    """Items of 1 to 400 words, verbatim or with a quarter of the words replaced, among rarer words."""
+    rng = random.Random(12)
+    often = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rare = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    items = [["only1"], ["two2", "words2"], [f"five{i}" for i in range(5)], *(often(n) for n in (10, 12, 15, 20)), *(often(400) for _ in range(4))]
+    texts = [rare(100) + t + rare(100) for t in items]
+    for t in items[3:7]:
+        df = Counter(w for x in texts for w in set(x))
+        spare = sorted(range(len(t)), key=lambda i: -df[t[i]])[: len(t) // 4]
+        texts.append(rare(100) + [w if i not in spare else rare(1)[0] for i, w in enumerate(t)] + rare(100))
+    texts += [["words2", "two2"], ["two2", "x", "words2"], [f"five{i}" for i in (0, 1, 2, 4)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(i, i) for i in range(11)} | {(11 + i, 3 + i) for i in range(4)}
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(30):
