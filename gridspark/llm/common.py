@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -67,6 +67,14 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key() -> Column:
+    """A hash of a row's ``doc_id`` and ``text``, which tells rows apart whose ids are null or repeat.
+
+    Rows of one id and one text share it; two others do with probability n^2 / 2^65.
+    """
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts (rows here, bytes where supported)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

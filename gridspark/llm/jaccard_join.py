@@ -41,8 +41,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 from pyspark.sql.window import Window
 
 from gridspark.llm import common as C
@@ -108,7 +109,7 @@ def _marks(docs: DataFrame, bits: int) -> DataFrame:
         if held:
             yield flush(batch.column(0).type)
 
-    return docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(run, f"kind int, doc_id {kind}, row_key long, n long, node long, bucket int, blob binary")
+    return docs.select("doc_id", C.row_key().alias("row_key"), "text").mapInArrow(run, f"kind int, doc_id {kind}, row_key long, n long, node long, bucket int, blob binary")
 
 
 def _count_shingles(marks: DataFrame, uri: str) -> None:
@@ -261,7 +262,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             found = [s for s in C.shingle_sets(C.text_bytes(batch.column(1)), N) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([np.uint64(set_hash(s)).astype(np.int64) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
-    rows = docs.select(_row_key().alias("row_key"), "text").mapInArrow(sets, "node long, shingles binary")
+    rows = docs.select(C.row_key().alias("row_key"), "text").mapInArrow(sets, "node long, shingles binary")
     rows = C.written(spark, rows.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     C.drop_table(spark, needed)
     return rows
@@ -330,13 +331,11 @@ def _joined_in_blocks(large: DataFrame, docs: DataFrame, reps: DataFrame, percen
     return C.written(spark, every.unionByName(pivots).groupBy("g", "chunk", "block").applyInArrow(join, "a long, b long"), "block-links")
 
 
-def _row_key() -> Column:
-    """Which row a set was taken from, to skip most texts when sets are fetched; rows may share it."""
-    return F.xxhash64("doc_id", F.length("text"))
-
-
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, node, row_key, first_key) of every row of ``docs``.
+
+    ``first_key`` is the row key of the component's first row: least id, nulls last, least row key.
+    """
     spark = docs.sparkSession
     C.arrow_batches(spark)
     uri = C.shared_path(spark, "shingles")
@@ -373,9 +372,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = links.union(more).union(_joined_in_blocks(large, docs, reps, percent))
     labels = C.components(spark, links, "a", "b")
     named = mine.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"].alias("first_key"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "row_key", "first_key")
 
 
 def _reps(docs: DataFrame, regions: DataFrame, mine: DataFrame) -> DataFrame:
@@ -388,13 +387,19 @@ def join_report(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another row of their component precedes (smallest id stays)."""
-    found = C.written(docs.sparkSession, classes(docs), "classes")
-    later = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    left = docs.join(later, docs.doc_id == later["__later"], "left_anti")
-    if found.filter("n_shingles > 0").groupBy("doc_id", "component_id").count().filter("count > 1").limit(1).count():
-        # ids repeat: of equal ids in one component the row with the least hash stays
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
-        left = left.withColumn("__r", F.when(~empty, rank)).filter("__r is null or __r = 1").drop("__r")
+    """``docs`` without the rows that another row of their component precedes.
+
+    The smallest id stays, null ids come last, then the least row key counts; of rows with one
+    id and one text the one stays whose other columns have the least hash.
+    """
+    found = classes(docs).groupBy("row_key").agg(F.min(F.col("row_key") == F.col("first_key")).alias("stays"), F.count("*").alias("n"))
+    rows = C.written(docs.sparkSession, found.filter("not stays or stays and n > 1"), "later")
+    keyed = docs.withColumn("__row", C.row_key())
+    left = keyed.join(rows.select(F.col("row_key").alias("__row")), "__row", "left_anti").select(docs.columns)
+    twice = rows.filter("stays")
+    if twice.limit(1).count():
+        others = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+        rank = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*others)))
+        one = keyed.join(twice.select(F.col("row_key").alias("__row")), "__row", "left_semi").withColumn("__r", rank).filter("__r = 1")
+        left = left.unionByName(one.select(docs.columns))
     return left

@@ -212,6 +212,23 @@ def test_jaccard_join_in_large_regions(spark, monkeypatch):
     assert got == brute_components(rows) and len({c for _, c in got.values()}) > 1
 
 
+def test_stages_judge_rows_whose_ids_are_null_or_repeat(spark):
+    rng = random.Random(13)
+    line = lambda n=60: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e, f, g, item = (line() for _ in range(8))
+    held = f"{line()} {item} {line()}"
+    rows = [(None, a, "s"), (None, b, "s"), (None, b + " end", "s"), (1, c, "s"), (1, c, "t"), (1, c, "t"), (1, d, "s"), (2, e, "s"), (3, e, "s"), (3, f, "s"), (4, g, "s"), (None, g, "s"), (None, None, "s"), (None, None, "s"), (5, "", "s"), (5, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = jaccard_join.first_of_each(docs)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    late = [x for x in ((None, b), (None, b + " end")) if not got[x]]
+    assert kept.columns == docs.columns and len(late) == 1
+    assert got == Counter(x[:2] for x in rows if x[:2] not in (*late, (3, e), (None, g))) - Counter({(1, c): 2})
+    docs = spark.createDataFrame([(None, held), (None, a), (7, b), (7, held), (None, None), (8, c)], "doc_id long, text string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter([(None, a), (7, b), (None, None), (8, c)])
+
+
 def test_components_by_rounds(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
