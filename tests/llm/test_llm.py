@@ -284,6 +284,17 @@ def test_decontamination_of_short_and_long_items(spark):
     assert got == {(i, i) for i in range(11)} | {(11 + i, 3 + i) for i in range(4)}
 
 
+def test_decontamination_with_answers_beside_the_question(spark):
+    rng = random.Random(14)
+    line = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    ask, answer = line(20), "forty two apples"
+    texts = [f"{line(60)} {ask} The answer: {answer} {line(60)}", f"{line(60)} {answer}. {ask} {line(60)}", f"{ask} {answer}", f"{line(60)} {ask} {line(200)} {answer}", f"{line(60)} {ask} {line(60)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ask, answer)], "item_id long, text string, answer string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2} and all(r.cover == 1 and r.end_word - r.start_word == 20 for r in got)
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(30):
