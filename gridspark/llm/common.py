@@ -7,7 +7,7 @@ splitting the encoded text gives the words without decoding it.
 
 from __future__ import annotations
 
-import itertools
+import functools
 import tempfile
 import uuid
 import zlib
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 MASK = (1 << 64) - 1
 #: Odd multipliers of the rolling hashes (two independent ones give 128 bits).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Entries a worker's word cache may hold before it starts afresh (about 100 MB).
-CACHE = 500_000
 
 _local_root: list[str] = []
 
@@ -78,81 +76,186 @@ def row_key() -> Column:
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts (rows here, bytes where supported)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ---------------------------------------------------------------- words and hashes
-class WordHash(dict):
-    """word bytes -> xxh3 64-bit hash, remembered while the worker lives (bounded)."""
+# ---------------------------------------------------------------- hashes
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser that spreads every input bit over all 64 (splitmix constants)."""
+    out = np.array(x, np.uint64)
+    flat = out.reshape(-1)
+    for i in range(0, len(flat), 1 << 14):  # in the processor's cache
+        part = flat[i : i + (1 << 14)]
+        part ^= part >> np.uint64(30)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(27)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (``np.unique`` hashes them first, which takes many times as long)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def distinct_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and for each entry of ``x`` the place of its value among them."""
+    order = np.argsort(x)
+    values = x[order]
+    fresh = np.concatenate(([True], values[1:] != values[:-1])) if len(x) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return values[fresh], place
 
-WORDS = WordHash()
 
+@functools.cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo 2**64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(BLOCK + 1, b, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=np.uint64))
+    return out[0], out[1]
 
+
+# ---------------------------------------------------------------- words and hashes
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text begins (one entry more)."""
-    lists = [t.lower().split() for t in texts] if lower else [t.split() for t in texts]
-    starts = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=starts[1:])
-    flat = np.fromiter(map(WORDS.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, int(starts[-1]))
-    return flat, starts
+def buffer_of(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, and where each begins (one entry more); null is empty."""
+    column = pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, cuts - cuts[0]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads every input bit over all 64 (splitmix constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bytes that are hashed together, so that temporaries stay below 10 MB and in the processor's cache.
+BLOCK = 1 << 18
+#: A word of more bytes is hashed as a whole by xxh3.
+LONG_WORD = 1 << 11
+
+
+def white(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are white space."""
+    return (raw == 32) | ((raw - np.uint8(9)) < 5)
+
+
+def folded(raw: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return raw + (((raw - np.uint8(65)) < 26) * np.uint8(32))
+
+
+def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; no word reaches over the border of two texts."""
+    starts, ends = [], []
+    for a in range(0, len(raw), BLOCK):
+        z = min(a + BLOCK, len(raw))
+        # the byte before the block and the one after it count too
+        seen = np.concatenate((np.ones(int(a == 0), bool), white(raw[max(a - 1, 0) : z + 1]), np.ones(int(z == len(raw)), bool)))
+        before, own, after = seen[: z - a].copy(), seen[1 : z - a + 1], seen[2:].copy()
+        inner = cuts[np.searchsorted(cuts, a) : np.searchsorted(cuts, z, "right")] - a
+        before[inner[inner < z - a]] = True
+        after[inner[inner > 0] - 1] = True
+        starts.append(np.flatnonzero(~own & before) + a)
+        ends.append(np.flatnonzero(~own & after) + a + 1)
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def span_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hash of the bytes of each span (ascending and apart), a polynomial modulo 2**64.
+
+    Prefix sums over a block of bytes give all its spans at once; nothing is done per word.
+    """
+    out = np.zeros(len(first), np.uint64)
+    if not len(first):
+        return out
+    up, down = _powers(BASES[0])
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(end, first[at] + BLOCK, "right")))
+        lo, hi = int(first[at]), int(end[stop - 1])
+        if hi - lo <= BLOCK:
+            own, sums = raw[lo:hi], np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((folded(own) if lower else own) * up[: hi - lo], out=sums[1:])
+            begin = first[at:stop] - lo
+            out[at:stop] = (sums[end[at:stop] - lo] - sums[begin]) * down[begin]
+        at = stop
+    length = end - first
+    out = mix(out + length.astype(np.uint64) * np.uint64(BASES[1]))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        word = raw[first[i] : end[i]].tobytes()
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out
+
+
+def word_hashes(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (``lower`` folds A-Z), and where each text begins (one entry more)."""
+    raw, cuts = buffer_of(texts)
+    first, end = word_spans(raw, cuts)
+    return span_hashes(raw, first, end, lower), np.searchsorted(first, cuts)
+
+
+def in_pieces(batch: pa.RecordBatch, name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have ``most`` bytes, or one text."""
+    _, cuts = buffer_of(batch.column(batch.schema.get_field_index(name)))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def window_hashes(flat: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
-    """Rolling hash of each run of ``n`` values; the result has ``len(flat)-n+1`` entries.
+    """Hash of each run of ``n`` values, sum of ``x[i + k] * base**k``; the result has ``len(flat)-n+1`` entries.
 
     Prefix sums of ``x[i] * base**i`` modulo 2**64 give every window by one subtraction;
     multiplying by the inverse power makes it independent of the position.
     """
-    if len(flat) < n:
+    m, size = len(flat) - n + 1, 1 << 15
+    if m <= 0:
         return np.zeros(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.full(len(flat), base, np.uint64)
-        up[0] = 1
-        up = np.cumprod(up, dtype=np.uint64)
-        sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(flat * up, out=sums[1:], dtype=np.uint64)
-        m = len(flat) - n + 1
-        down = np.full(m, inverse, np.uint64)
-        down[0] = 1
-        down = np.cumprod(down, dtype=np.uint64)
-        return mix((sums[n:] - sums[:m]) * down)
-
-
-def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    out, (up, down) = np.empty(m, np.uint64), _powers(base)
+    for i in range(0, m, size):
+        k = min(size, m - i)
+        sums = np.zeros(k + n, np.uint64)
+        np.cumsum(flat[i : i + k + n - 1] * up[: k + n - 1], out=sums[1:])
+        out[i : i + k] = mix((sums[n:] - sums[:k]) * down[:k])
+    return out
+
+
+def shingle_sets(texts: pa.Array | list[bytes], n: int = 5) -> list[np.ndarray]:
     """Distinct ``n``-word shingles of each text as sorted hashes (A-Z lower-cased).
 
     A text of fewer words gives its whole sequence as one shingle, one without words none.
     """
     flat, starts = word_hashes(texts, lower=True)
     grams, out = window_hashes(flat, n), []
-    for i in range(len(texts)):
-        a, b = int(starts[i]), int(starts[i + 1])
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
+            out.append(distinct(grams[a : b - n + 1]))
         else:
             out.append(np.array([xxhash.xxh3_64_intdigest(flat[a:b].tobytes(), seed=b - a)], np.uint64) if b > a else np.zeros(0, np.uint64))
     return out

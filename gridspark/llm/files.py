@@ -8,6 +8,8 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow.fs as pafs
 
+from gridspark.llm import common as C
+
 #: Arrays that a worker keeps mapped.
 MAPPED = 512
 
@@ -67,7 +69,7 @@ def arrays(uri: str) -> Arrays:
 
 def member(uri: str, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether each key is in the sorted arrays ``name-*.u8``, which are cut by the key's upper ``bits``."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
+    distinct, inverse = C.distinct_places(keys)
     out = np.zeros(len(distinct), bool)
     cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for b in range(1 << bits):
@@ -79,7 +81,7 @@ def member(uri: str, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
 
 def counts_of(uri: str, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
     """The count stored for each key in ``name-*.u8`` / ``.n1``, 0 for keys that aren't there."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
+    distinct, inverse = C.distinct_places(keys)
     out = np.zeros(len(distinct), np.uint8)
     cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for b in range(1 << bits):

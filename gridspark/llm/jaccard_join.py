@@ -91,13 +91,13 @@ def _marks(docs: DataFrame, bits: int) -> DataFrame:
         size = 0
 
         def flush(of: pa.DataType) -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = C.distinct_counts(np.concatenate(held))
             rows = [(b, C.pack(keys[at], np.minimum(counts[at], HOT).astype(np.uint8))) for b, at in C.by_bucket(keys, (keys >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)]
             k = len(rows)
             return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, of), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-        for batch in batches:
-            sets = C.shingle_sets(C.text_bytes(batch.column(2)), N)
+        for batch in (piece for b in batches for piece in C.in_pieces(b)):
+            sets = C.shingle_sets(batch.column(2), N)
             nodes = pa.array([np.uint64(set_hash(s)).astype(np.int64) if len(s) else None for s in sets], pa.int64())
             k = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), nodes, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
@@ -141,9 +141,9 @@ def _cells(docs: DataFrame, uri: str, bits: int, buckets: int, percent: int) ->
             return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (piece for b in batches for piece in C.in_pieces(b)):
             mine, hot_nodes, hot_keys = [], [], []
-            sets = C.shingle_sets(C.text_bytes(batch.column(0)), N)
+            sets = C.shingle_sets(batch.column(0), N)
             often = counts_of(uri, "often", np.concatenate(sets), bits) if sets else []
             stop = 0
             for s in sets:
@@ -258,9 +258,9 @@ def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = pa.array(C.bloom_has(bits.value, batch.column(0).to_numpy()))
-            batch = batch.filter(some)
-            found = [s for s in C.shingle_sets(C.text_bytes(batch.column(1)), N) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.uint64(set_hash(s)).astype(np.int64) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+            for part in C.in_pieces(batch.filter(some)):
+                found = [s for s in C.shingle_sets(part.column(1), N) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.uint64(set_hash(s)).astype(np.int64) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
     rows = docs.select(C.row_key().alias("row_key"), "text").mapInArrow(sets, "node long, shingles binary")
     rows = C.written(spark, rows.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")

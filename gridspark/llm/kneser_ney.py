@@ -46,7 +46,7 @@ CHUNK, PER_BUCKET = 4_000_000, 4_000_000
 END = np.uint64(C.xxhash.xxh3_64_intdigest(b"</s> "))
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts with an end token each, and where each text begins."""
     flat, starts = C.word_hashes(texts, lower=True)
     at = starts + np.arange(len(starts))
@@ -73,7 +73,7 @@ def word_ids(uri: str, hashes: np.ndarray, offsets: np.ndarray, shift: int) -> n
 
 
 def batch_ids(uri: str, flat: np.ndarray, offsets: np.ndarray, shift: int) -> np.ndarray:
-    distinct, inverse = np.unique(flat, return_inverse=True)
+    distinct, inverse = C.distinct_places(flat)
     return word_ids(uri, distinct, offsets, shift)[inverse]
 
 
@@ -94,13 +94,13 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of, bucket_of, buckets: int
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        keys, counts = C.distinct_counts(np.concatenate(held))
         rows = [(b, C.pack(keys[at], counts[at].astype(np.uint32))) for b, at in C.by_bucket(keys, bucket_of(keys), buckets)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         if len(batch):
-            held.append(keys_of(C.text_bytes(batch.column(0))))
+            held.append(keys_of(batch.column(0)))
             size += len(held[-1])
         if size >= CHUNK:
             yield flush()
@@ -158,7 +158,7 @@ def train(docs: DataFrame, uri: str) -> dict:
     pb = max(16, -(-n // PER_BUCKET))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys(t: list[bytes]) -> np.ndarray:
+        def keys(t: pa.Array) -> np.ndarray:
             flat, starts = tokens(t)
             return pair_keys(batch_ids(uri, flat, offsets, shift), starts, v)
 
@@ -223,13 +223,13 @@ def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.maximum(counts - np.array([0, *d])[np.minimum(counts, 3).astype(np.int64)], 0)
 
 
-def log_probs(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def log_probs(model: dict, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token starts per text; per token: log10 of the model, log10 of the base, whether it is known."""
     flat, starts = tokens(texts)
     ids = batch_ids(model["uri"], flat, model["offsets"], model["shift"])
     v, n = model["v"], model["n"]
     known = ids < v
-    distinct, inverse = np.unique(ids, return_inverse=True)
+    distinct, inverse = C.distinct_places(ids)
     inside = distinct[distinct < v]
     counts = np.zeros(len(distinct))
     for b in range(len(model["offsets"]) - 1):
@@ -245,7 +245,7 @@ def log_probs(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
         one[: len(inside)] += _discounted(_gather(model, "kinds", "<i8", inside), model["d1"]) / types
     # pairs
     keys = pair_keys(ids, starts, v)
-    pair, back = np.unique(keys, return_inverse=True)
+    pair, back = C.distinct_places(keys)
     seen = np.zeros(len(pair))
     for b, at in C.by_bucket(pair, pair_bucket(pair, model["pairs"]), model["pairs"]):
         stored = arrays(model["uri"])(f"pairs-{b:05d}.u8", "<u8")
@@ -253,7 +253,7 @@ def log_probs(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
             where = np.minimum(np.searchsorted(stored, pair[at]), len(stored) - 1)
             hit = stored[where] == pair[at]
             seen[at[hit]] = arrays(model["uri"])(f"pairs-{b:05d}.u4", "<u4")[where[hit]]
-    context, which = np.unique(pair >> np.uint64(32), return_inverse=True)
+    context, which = C.distinct_places(pair >> np.uint64(32))
     usable = context <= v
     total, gamma = np.zeros(len(context)), np.ones(len(context))
     total[usable] = _gather(model, "total", "<i8", context[usable])
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            starts, logs, base, known = log_probs(model, C.text_bytes(batch.column(1)))
+            starts, logs, base, known = log_probs(model, batch.column(1))
             sums = [np.add.reduceat(x.astype(t), starts[:-1]) for x, t in ((known, np.int64), (base, np.float64), (logs, np.float64))]
             cols = [np.diff(starts), sums[0], np.full(len(batch), model["n"]), sums[1], sums[2]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names)

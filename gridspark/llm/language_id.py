@@ -102,8 +102,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
     use = (doc[:-2] == doc[2:]) & (codes[1:-1] != SPACE)
     grams, doc = grams[use], doc[:-2][use]
-    known, inverse = np.unique(grams, return_inverse=True)
-    pairs, count = np.unique(doc * len(known) + inverse, return_counts=True) if len(known) else (doc, doc)
+    known, inverse = C.distinct_places(grams)
+    pairs, count = C.distinct_counts(doc * len(known) + inverse) if len(known) else (doc, doc)
     return pairs // max(1, len(known)), known[pairs % len(known)] if len(known) else known, count
 
 
@@ -154,7 +154,7 @@ def cosines(texts: list[str], proto: np.ndarray, dims: int, block: int = 64) ->
         doc, gram, n = trigrams(texts[i : i + block])
         if not len(gram):
             continue
-        known, inverse = np.unique(gram, return_inverse=True)
+        known, inverse = C.distinct_places(gram)
         bundle = np.zeros((len(texts[i : i + block]), dims), np.float32)
         for j in range(0, len(known), 8192):
             mine = (inverse >= j) & (inverse < j + 8192)

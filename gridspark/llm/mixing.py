@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,7 +100,8 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.array([len(t.split()) for t in C.text_bytes(batch.column("text"))], pa.int64())
+            raw, cuts = C.buffer_of(batch.column("text"))
+            sizes = pa.array(np.diff(np.searchsorted(C.word_spans(raw, cuts)[0], cuts)), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), sizes], [*keep, "size"])
 
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", size long")

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -34,7 +33,6 @@ from pyspark.sql import functions as F
 
 from gridspark.llm import common as C
 
-SYMBOLS = re.compile(rb"[#*$%&|<>]")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long"
 #: Bins of one sketch: ratios lie in 0..1 after scaling, so a bin is 1/1000 of the range.
 BINS = 1000
@@ -54,20 +52,43 @@ RULES = (
 )
 
 
+_BYTES = np.arange(256)
+#: Bits of a byte: begins a code point that isn't white space, a symbol, a mark, an ASCII letter, a capital.
+CHAR, SYMBOL, MARK, LETTER, CAPITAL = 1, 2, 4, 8, 16
+KINDS = ((~C.white(_BYTES.astype(np.uint8)) & ((_BYTES < 0x80) | (_BYTES >= 0xC0))) * CHAR + np.isin(_BYTES, list(b"#*$%&|<>")) * SYMBOL + np.isin(_BYTES, list(b"!?")) * MARK).astype(np.uint8)
+KINDS[65:91] += LETTER + CAPITAL
+KINDS[97:123] += LETTER
+
+
 @functools.cache
-def _classes() -> np.ndarray:
-    """1 for a letter, 3 for an upper-case letter, 0 for any other code point."""
+def _letters() -> np.ndarray:
+    """``LETTER`` and ``CAPITAL`` of every code point."""
     kinds = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         k = unicodedata.category(chr(c))
         if k[0] == "L":
-            kinds[c] = 3 if k == "Lu" else 1
+            kinds[c] = LETTER + CAPITAL if k == "Lu" else LETTER
+    return kinds
+
+
+def byte_kinds(raw: np.ndarray) -> np.ndarray:
+    """The bits of every byte; letters beyond ASCII count at their first byte (UTF-8 decoded in numpy)."""
+    kinds = np.take(KINDS, raw)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        value = raw[lead].astype(np.uint32)
+        extra = (value >= 0xE0).astype(np.uint32) + (value >= 0xF0) + np.uint32(1)
+        value &= np.uint32(0x3F) >> extra
+        for k in (1, 2, 3):
+            more = np.flatnonzero(extra >= k)
+            value[more] = value[more] << np.uint32(6) | raw[np.minimum(lead[more] + k, len(raw) - 1)] & np.uint32(0x3F)
+        kinds[lead] |= _letters()[np.minimum(value, np.uint32(0x10FFFF))]
     return kinds
 
 
-def _per_text(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return np.diff(sums[ends], prepend=0)
+def _per_text(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text."""
+    return np.diff(np.searchsorted(np.flatnonzero(flags), cuts))
 
 
 def _repeat_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,8 +101,14 @@ def _repeat_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if not len(at):
         return counts
     keys = C.mix(C.window_hashes(flat, 3)[at] + doc[at].astype(np.uint64) * np.uint64(C.BASES[1]))
-    _, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
-    again = at[many[inverse] > 1]
+    every = np.sort(keys)
+    twice = C.distinct(every[1:][every[1:] == every[:-1]])
+    if not len(twice):
+        return counts
+    some = np.zeros(1 << 16, bool)  # passes over most windows that occur once
+    some[twice & np.uint64(0xFFFF)] = True
+    again = np.flatnonzero(some[keys & np.uint64(0xFFFF)])
+    again = at[again[twice[np.minimum(np.searchsorted(twice, keys[again]), len(twice) - 1)] == keys[again]]]
     hit = np.zeros(len(flat), bool)
     for k in range(3):
         hit[again + k] = True
@@ -90,29 +117,31 @@ def _repeat_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def text_stats(batch: pa.RecordBatch) -> list[np.ndarray]:
-    raw = C.text_bytes(batch.column("text"))
-    decoded = [b.decode("utf-8", "replace") for b in raw]
-    flat, starts = C.word_hashes(raw)
-    spaces = [sum(map(b.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))) for b in raw]
-    lines, dup = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-    for i, b in enumerate(raw):
-        if b"\n" in b:
-            with_words = [x for x in b.split(b"\n") if x.strip()]
-            lines[i], dup[i] = len(with_words), len(with_words) - len(set(with_words))
-        else:
-            lines[i] = bool(b.strip())
-    ends = np.cumsum([len(d) for d in decoded])
-    kinds = _classes()[np.frombuffer("".join(decoded).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """The columns of ``STATS`` for the whole texts of a batch, a few megabytes of text at a time."""
+    parts = [_stats(piece.column("text")) for piece in C.in_pieces(batch)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(STATS.split(", "))
+
+
+def _stats(column: pa.Array) -> list[np.ndarray]:
+    raw, cuts = C.buffer_of(column)
+    flat, starts = C.word_hashes(column)
+    n_words = np.diff(starts)
+    lines, dup = (n_words > 0).astype(np.int64), np.zeros(len(column), np.int64)
+    breaks = _per_text(raw == 10, cuts)
+    for i in np.flatnonzero(breaks).tolist():
+        with_words = [x for x in raw[cuts[i] : cuts[i + 1]].tobytes().split(b"\n") if x.strip()]
+        lines[i], dup[i] = len(with_words), len(with_words) - len(set(with_words))
+    kinds = byte_kinds(raw)
     return [
-        np.diff(starts),
-        np.array([len(d) for d in decoded], np.int64) - np.array(spaces, np.int64),
-        np.array([len(SYMBOLS.findall(b)) for b in raw], np.int64),
+        n_words,
+        _per_text(kinds & CHAR, cuts),
+        _per_text(kinds & SYMBOL, cuts),
         dup,
         _repeat_words(flat, starts),
         lines,
-        _per_text(kinds == 3, ends),
-        _per_text(kinds > 0, ends),
-        np.array([b.count(b"!") + b.count(b"?") for b in raw], np.int64),
+        _per_text(kinds & CAPITAL, cuts),
+        _per_text(kinds & LETTER, cuts),
+        _per_text(kinds & MARK, cuts),
     ]
 
 

@@ -70,13 +70,13 @@ def _shared(texts: DataFrame, keys_of, uri: str, name: str, bits: int) -> None:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = C.distinct_counts(np.concatenate(held))
             rows = [(b, C.pack(keys[at], (counts[at] > 1).astype(np.uint8))) for b, at in C.by_bucket(keys, (keys >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
             if len(batch):
-                flat, starts = C.word_hashes(C.text_bytes(batch.column(0)), lower=True)
+                flat, starts = C.word_hashes(batch.column(0), lower=True)
                 held.append(_once(*keys_of(flat, starts)))
                 size += len(flat)
             if size >= CHUNK:
@@ -91,7 +91,7 @@ def _shared(texts: DataFrame, keys_of, uri: str, name: str, bits: int) -> None:
         order = np.argsort(keys, kind="stable")
         keys, several = keys[order], several[order]
         several[1:] |= keys[1:] == keys[:-1]
-        found = np.unique(keys[several])
+        found = C.distinct(keys[several])
         put(f"{uri}/{name}-{key[0].as_py():05d}.u8", found.astype("<u8").tobytes())
         return pa.table({"n": pa.array([len(found)], pa.int64())})
 
@@ -126,7 +126,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, starts = C.word_hashes(C.text_bytes(batch.column(1)), lower=True)
+            flat, starts = C.word_hashes(batch.column(1), lower=True)
             doc, keys, at = extended(flat, starts)
             hit = member(uri, "match", keys, bits) if len(keys) else np.zeros(0, bool)
             doc, at = doc[hit], at[hit]

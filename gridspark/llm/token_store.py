@@ -134,7 +134,7 @@ def key_hashes(keys: pa.Array) -> np.ndarray:
     if pa.types.is_integer(keys.type):
         values = C.mix(keys.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(C.BASES[1]))
     else:
-        values = np.array([C.WORDS[(k or "").encode()] for k in keys.to_pylist()], np.uint64)
+        values = np.array([C.xxhash.xxh3_64_intdigest((k or "").encode()) for k in keys.to_pylist()], np.uint64)
     return np.where(keys.is_null().to_numpy(zero_copy_only=False), np.uint64(C.BASES[0]), values)
 
 
@@ -314,7 +314,7 @@ class Store:
         """(found, shard, row, rows) of each key."""
         out = np.zeros(len(hashes), [("found", bool), ("shard", "i8"), ("row", "i8"), ("rows", "i8")])
         where = bucket_of(hashes, self.meta["buckets"])
-        for b in np.unique(where):
+        for b in C.distinct(where):
             mine, index = np.flatnonzero(where == b), self.index(int(b))
             if index is None:
                 continue

@@ -19,8 +19,6 @@ extra columns are ignored (``quality_scores``).
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +43,7 @@ LABELLERS = (
 #: A text of fewer words is poor, of so many or more is fine.
 SHORT, ENOUGH = 1, 50
 ABSTAIN, POOR, FINE = 0, 1, 2
-SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
-RUNS = re.compile(rb"([^ ])\1+")
+SHAPE = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
@@ -98,19 +95,28 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
     return post, theta, share
 
 
-def features(texts: list[bytes], stats: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(column: pa.Array, stats: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed features of each text: square roots of word-shape shares, and bins of its statistics."""
-    ratios = [np.minimum(15, (16 * np.sqrt(stats[num] / np.maximum(stats[den], 1) / (2 * poor)))).astype(int) for _, num, den, poor, _ in LABELLERS]
-    ratios.append(np.minimum(15, np.log2(1 + stats["n_words"])).astype(int))
-    out = []
-    for i, text in enumerate(texts):
-        shapes = Counter(RUNS.sub(rb"\1", text.translate(SHAPE)).split())
-        total = max(1, sum(shapes.values()))
-        keys = [C.WORDS[b"shape " + s[:16]] for s in shapes] + [C.WORDS[b"bin %d %d" % (k, r[i])] for k, r in enumerate(ratios)]
-        values = [(n / total) ** 0.5 for n in shapes.values()] + [1.0] * len(ratios)
-        at, back = np.unique(np.array(keys, np.uint64) >> np.uint64(64 - BITS), return_inverse=True)
-        out.append((at.astype(np.int64), np.bincount(back, values)))
-    return out
+    raw, cuts = C.buffer_of(column)
+    shaped = np.take(SHAPE, raw)
+    # runs of one byte count once; a text's first byte begins a run
+    keep = np.ones(len(raw), bool)
+    keep[1:] = (shaped[1:] != shaped[:-1]) | C.white(shaped[1:])
+    keep[cuts[:-1][cuts[:-1] < len(raw)]] = True
+    kept = np.flatnonzero(keep)
+    shaped, cuts = shaped[kept], np.searchsorted(kept, cuts)
+    first, end = C.word_spans(shaped, cuts)
+    starts = np.searchsorted(first, cuts)
+    n = len(column)
+    doc = np.repeat(np.arange(n), np.diff(starts)).astype(np.uint64)
+    seen, counts = C.distinct_counts(doc << np.uint64(BITS) | C.span_hashes(shaped, first, end, False) >> np.uint64(64 - BITS))
+    owner = (seen >> np.uint64(BITS)).astype(np.int64)
+    ratios = [np.minimum(15, (16 * np.sqrt(stats[num] / np.maximum(stats[den], 1) / (2 * poor)))).astype(np.uint64) for _, num, den, poor, _ in LABELLERS]
+    ratios.append(np.minimum(15, np.log2(1 + stats["n_words"])).astype(np.uint64))
+    bins = np.array([C.mix(r + np.uint64(16 * k + 1)) >> np.uint64(64 - BITS) for k, r in enumerate(ratios)]).T.reshape(n, len(ratios))
+    values, at = np.sqrt(counts / np.maximum(np.diff(starts), 1)[owner]), (seen & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    border = np.searchsorted(owner, np.arange(n + 1))
+    return [(np.concatenate((at[a:b], bins[i].astype(np.int64))), np.concatenate((values[a:b], np.ones(len(ratios))))) for i, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -120,7 +126,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         return weights, bias
     at, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    used, where = np.unique(at, return_inverse=True)
+    used, where = C.distinct_places(at)
     w, power, bias_power = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[where], minlength=len(rows)) + bias, -30, 30)))
@@ -134,8 +140,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     return weights, bias
 
 
-def _measured(batch: pa.RecordBatch) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    return C.text_bytes(batch.column("text")), dict(zip(NAMES, text_stats(batch), strict=True))
+def _measured(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return dict(zip(NAMES, text_stats(batch), strict=True))
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
@@ -147,10 +153,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stats = _measured(batch)
+            stats = _measured(batch)
             place = batch.column(0).to_numpy().view(np.uint64)
             chosen = place / 2.0**64 < least
-            got = features([t for t, c in zip(texts, chosen, strict=True) if c], {k: v[chosen] for k, v in stats.items()})
+            got = features(batch.column(1).filter(pa.array(chosen)), {k: v[chosen] for k, v in stats.items()})
             found = iter(got)
             pairs = [next(found) if c else None for c in chosen]
             yield pa.RecordBatch.from_arrays(
@@ -179,9 +185,9 @@ def quality_scores(docs: DataFrame, model: dict | None = None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts, stats = _measured(batch)
+            stats = _measured(batch)
             post = np.array([1 - m["post"].get(p, m["share"]) for p in pattern(votes(stats)).tolist()], np.float64)
-            raw = np.array([float(m["weights"][at] @ value) for at, value in features(texts, stats)], np.float64) + m["bias"]
+            raw = np.array([float(m["weights"][at] @ value) for at, value in features(batch.column(1), stats)], np.float64) + m["bias"]
             fine = 1 / (1 + np.exp(np.clip(raw, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post), pa.array(fine), pa.array(fine >= 0.5)], ["doc_id", "posterior", "score", "kept"])
 
