@@ -7,6 +7,7 @@ splitting the encoded text gives the words without decoding it.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -27,6 +28,18 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _local_root: list[str] = []
 
 
+def _lean() -> None:
+    """Give freed arrays back to the system at once, so that idle workers hold little (glibc only)."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option:
+        for option, value in ((-3, 2 << 20), (-1, 4 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+            set_option(option, value)
+
+
+_lean()
+
+
 # ---------------------------------------------------------------- shared tables
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -53,7 +66,8 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     A lost executor costs nothing but its running tasks, since the files outlive it.
     """
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

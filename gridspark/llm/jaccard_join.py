@@ -52,7 +52,7 @@ from gridspark.llm.files import counts_of, open_fs, put
 N, PERCENT = 5, 75
 #: Most coordinates of the triangle test, shingles counted together in a task, count from which a
 #: shingle is hot, members of a region compared pair by pair, sets of a block.
-MOST_CLASSES, CHUNK, HOT, SMALL, BLOCK = 8192, 2_000_000, 255, 8, 512
+MOST_CLASSES, CHUNK, HOT, SMALL, BLOCK = 8192, 1_000_000, 255, 8, 512
 
 
 def prefix_length(size: int, percent: int) -> int:

@@ -1,17 +1,18 @@
 """Quality rules with thresholds that follow the corpus (operator 1).
 
 Every document gets word statistics.  Per language and source, the ratios of the documents
-that pass two fixed base rules go into *mergeable quantile sketches*: counts of fixed-width
-bins, so that sketches of partitions, of sources and of languages merge by adding counts.
-A quantile read from a sketch is off by one bin width at most, whatever the order of merging,
-and reruns agree.  From the sketches of (language, source), (language) and everything, a
-limit per rule is taken where the group holds enough documents, else from the wider group;
-the documents are then joined with their group's limits and filtered.
-
-A limit is ``q75 + spread * (q75 - q25) + slack`` of the group: a group whose documents
-mostly carry symbols gets a wider limit, and the slack keeps groups with no spread at all
-from losing documents over a few odd words.  Quartiles stay put while less than a quarter
-of a group is bad.
+that pass two fixed base rules go into *mergeable quantile sketches* with relative error: a
+sketch is the counts of ratios rounded down to ``DIGITS`` significant bits, so that sketches of
+partitions, sources and languages merge by adding counts, a quantile is off by one part in
+512 at most whatever its size and whatever the order of merging, and a sketch has at most 512
+counts per power of two that occurs.  Documents without the trait (ratio 0) stay outside.
+
+A limit is ``median + SPREAD * (upper quartile - median)`` of the group: nothing but the
+group's own distribution says how much is too much, and quartiles stay put while less than a
+quarter of a group is bad.  Median and quartile are means of the group's own and its
+language's, weighted by the number of its documents and ``PRIOR`` (and the language's of its own
+and those of all documents), so that small groups lean on what is known without a switch.
+The documents are then joined with their group's limits and filtered.
 
 Nulls and edges: a null or empty text has no words and fails the base rules; null languages
 and sources form groups of their own (null equals null); ties cannot matter, repeated rows
@@ -22,7 +23,6 @@ are judged alike; an empty table gives an empty result; extra columns are ignore
 from __future__ import annotations
 
 import functools
-import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,34 +30,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridspark.llm import common as C
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long"
-#: Bins of one sketch: ratios lie in 0..1 after scaling, so a bin is 1/1000 of the range.
-BINS = 1000
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_digits long"
+#: Significant bits of a sketch's keys, width of the fence in quartile ranges, documents that the wider group counts for.
+DIGITS, SPREAD, PRIOR = 10, 12, 100
+#: Rule, and the ratio (in millionths) of which there may be too much.
+RULES = (
+    ("odd", "word_chars - n_letters - n_digits", "word_chars"),
+    ("upper", "n_upper", "n_letters"),
+    ("long_words", "word_chars", "n_words"),
+    ("short_words", "n_words", "word_chars"),
+    ("repeat", "n_repeat_words", "n_words"),
+    ("dup_line", "n_dup_lines", "n_lines"),
+)
 
 
-def _thousandths(num: str, den: str) -> Column:
-    return F.least(F.lit(BINS), F.floor(F.col(num) * BINS / F.greatest(F.col(den), F.lit(1)))).cast("long")
+def _ratio(num: str, den: str) -> Column:
+    return F.expr(f"(1000000 * ({num})) div greatest({den}, 1)")
 
 
-#: Rule, counted column, base column, slack in thousandths.
-RULES = (
-    ("symbol", "n_symbols", "n_words", 150),
-    ("dup_line", "n_dup_lines", "n_lines", 600),
-    ("repeat", "n_repeat_words", "n_words", 350),
-    ("upper", "n_upper", "n_letters", 150),
-    ("mark", "n_marks", "n_words", 150),
-)
+def _width(v: str) -> Column:
+    """The width of the sketch's bin that holds ``v``."""
+    return F.expr(f"shiftleft(1L, greatest(0, length(bin({v})) - {DIGITS}))")
 
 
 _BYTES = np.arange(256)
-#: Bits of a byte: begins a code point that isn't white space, a symbol, a mark, an ASCII letter, a capital.
-CHAR, SYMBOL, MARK, LETTER, CAPITAL = 1, 2, 4, 8, 16
+#: Bits of a byte: begins a code point that isn't white space, a symbol, a mark, an ASCII letter, a capital, a digit.
+CHAR, SYMBOL, MARK, LETTER, CAPITAL, DIGIT = 1, 2, 4, 8, 16, 32
 KINDS = ((~C.white(_BYTES.astype(np.uint8)) & ((_BYTES < 0x80) | (_BYTES >= 0xC0))) * CHAR + np.isin(_BYTES, list(b"#*$%&|<>")) * SYMBOL + np.isin(_BYTES, list(b"!?")) * MARK).astype(np.uint8)
 KINDS[65:91] += LETTER + CAPITAL
 KINDS[97:123] += LETTER
+KINDS[48:58] += DIGIT
 
 
 @functools.cache
@@ -142,6 +148,7 @@ def _stats(column: pa.Array) -> list[np.ndarray]:
         _per_text(kinds & CAPITAL, cuts),
         _per_text(kinds & LETTER, cuts),
         _per_text(kinds & MARK, cuts),
+        _per_text(kinds & DIGIT, cuts),
     ]
 
 
@@ -149,8 +156,7 @@ def document_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` (columns of ``docs``) and the word statistics of each whole text."""
     C.arrow_batches(docs.sparkSession)
     names = [x.split()[0] for x in STATS.split(", ")]
-    kinds = {f.name: f.dataType for f in docs.schema}
-    schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keep) + ", " + STATS
+    schema = StructType([*(docs.schema[k] for k in keep), *(StructField(n, LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,43 +166,48 @@ def document_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, *text).mapInArrow(run, schema)
 
 
-def limits(stats: DataFrame, least: int, spread: int) -> DataFrame:
-    """(lang, source, rule, limit_milli) from merged sketches of the documents that pass the base rules.
+def limits(stats: DataFrame) -> DataFrame:
+    """(g_lang, g_source, rule, limit) from merged sketches of the documents that pass the base rules.
 
-    One aggregation makes the finest sketches (a row per group, rule and filled bin, so their
-    number is bounded by groups x rules x bins); wider ones are sums of those.
+    One aggregation makes the finest sketches (a row per group, rule and filled bin); wider ones
+    are sums of those.
     """
-    ratios = F.array(*(F.struct(F.lit(name).alias("rule"), _thousandths(a, b).alias("bin")) for name, a, b, _ in RULES))
-    fine = stats.filter(~F.col("base_failed")).select("lang", "source", F.inline(ratios)).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
-    fine = C.written(stats.sparkSession, fine, "sketches")
-    levels = [
-        fine.select(F.lit(0).alias("level"), "lang", "source", "rule", "bin", "n"),
-        fine.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "rule", "bin", "n"),
-        fine.groupBy("rule", "bin").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "rule", "bin", "n"),
-    ]
-    sketch = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    bins = F.array_sort(F.collect_list(F.struct("bin", "n")))
-    found = sketch.groupBy("level", "lang", "source", "rule").agg(F.sum("n").alias("total"), bins.alias("bins"))
-
-    def quantile(q: float) -> Column:
+    ratios = F.array(*(F.struct(F.lit(name).alias("rule"), _ratio(a, b).alias("v")) for name, a, b in RULES))
+    fine = stats.filter(~F.col("base_failed")).select("lang", "source", F.inline(ratios)).filter("v > 0")
+    fine = fine.select("lang", "source", "rule", (F.col("v") - F.col("v") % _width("v")).alias("bin"))
+    fine = C.written(stats.sparkSession, fine.groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n")), "sketches")
+    own = _quartiles(fine, ["lang", "source", "rule"], "0")
+    lang = _quartiles(fine, ["lang", "rule"], "1")
+    every = _quartiles(fine, ["rule"], "2")
+    # one row per rule, one per language and rule: Spark picks the joins by their measured size
+    found = own.join(lang, own.lang0.eqNullSafe(lang.lang1) & (own.rule0 == lang.rule1)).join(every, F.col("rule0") == F.col("rule2"))
+
+    def blend(q: str) -> Column:
+        wide = (F.col("total1") * F.col(f"{q}1") + PRIOR * F.col(f"{q}2")) / (F.col("total1") + PRIOR)
+        return (F.col("total0") * F.col(f"{q}0") + PRIOR * wide) / (F.col("total0") + PRIOR)
+
+    limit = F.floor(blend("mid") + SPREAD * (blend("high") - blend("mid"))).cast("long")
+    return found.select(F.col("lang0").alias("g_lang"), F.col("source0").alias("g_source"), F.col("rule0").alias("rule"), limit.alias("limit"))
+
+
+def _quartiles(fine: DataFrame, by: list[str], suffix: str) -> DataFrame:
+    """``by``, the number of documents, the median and the upper quartile (the upper edge of its bin) of merged sketches."""
+    merged = fine.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    found = merged.groupBy(*by).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+
+    def quantile(quarters: int) -> Column:
         upto = F.aggregate(
             "bins",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")),
-            lambda acc, x: F.struct((acc.seen + x.n).alias("seen"), F.when((acc.at < 0) & ((acc.seen + x.n) * 100 >= F.col("total") * int(q * 100)), x.bin).otherwise(acc.at).alias("at")),
+            lambda acc, x: F.struct((acc.seen + x.n).alias("seen"), F.when((acc.at < 0) & ((acc.seen + x.n) * 4 >= F.col("total") * quarters), x.bin).otherwise(acc.at).alias("at")),
         )
         return upto["at"]
 
-    found = found.withColumns({"q25": quantile(0.25), "q75": quantile(0.75)})
-    slack = F.create_map(*itertools.chain.from_iterable((F.lit(r[0]), F.lit(r[3])) for r in RULES))[F.col("rule")]
-    own = (F.col("q75") + (F.col("q75") - F.col("q25")) * F.lit(spread) + slack).cast("long")
-    found = found.select("level", "lang", "source", "rule", "total", own.alias("own"))
-    a, b, c = (found.filter(F.col("level") == k).select(*[F.col(x).alias(f"{x}{k}") for x in ("lang", "source", "rule", "total", "own")]) for k in range(3))
-    joined = a.join(b, F.col("lang0").eqNullSafe(F.col("lang1")) & (F.col("rule0") == F.col("rule1"))).join(c, F.col("rule0") == F.col("rule2"))
-    limit = F.when(F.col("total0") >= least, F.col("own0")).when(F.col("total1") >= least, F.col("own1")).otherwise(F.col("own2"))
-    return joined.select(F.col("lang0").alias("g_lang"), F.col("source0").alias("g_source"), F.col("rule0").alias("rule"), limit.alias("limit"))
+    found = found.withColumns({"mid": quantile(2), "high": quantile(3)}).withColumn("high", F.col("high") + _width("high"))
+    return found.select(*(F.col(c).alias(f"{c}{suffix}") for c in (*by, "total", "mid", "high")))
 
 
-def judged(docs: DataFrame, keep: list[str], least: int = 100, spread: int = 6, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """``keep``, the statistics, base_failed, kept and the limit of each rule for each document."""
     spark = docs.sparkSession
     stats = document_stats(docs, list(dict.fromkeys([*keep, "lang", "source"])))
@@ -204,12 +215,12 @@ def judged(docs: DataFrame, keep: list[str], least: int = 100, spread: int = 6,
     stats = stats.withColumn("base_failed", failed)
     # the texts stay behind: what is kept for the second look is a few numbers a document
     stats = C.written(spark, stats, "stats") if "text" not in keep else stats
-    found = limits(stats, least, spread)
+    found = limits(stats)
     wide = found.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("rule") == r[0], F.col("limit"))).alias(f"max_{r[0]}") for r in RULES))
     wide = C.written(spark, wide, "limits")
     within = F.lit(True)
-    for name, a, b, _ in RULES:
-        within = within & (_thousandths(a, b) <= F.coalesce(F.col(f"max_{name}"), F.lit(BINS)))
+    for name, a, b in RULES:
+        within = within & (_ratio(a, b) <= F.coalesce(F.col(f"max_{name}"), F.lit((1 << 63) - 1)))
     # one row per language and source: small, and Spark picks the join by its measured size
     out = stats.join(wide, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
     return out.withColumn("kept", ~F.col("base_failed") & within)

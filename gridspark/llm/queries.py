@@ -65,7 +65,7 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_warc, op5_token_store, op6_jaccard_join, op7_decontaminate, op8_kneser_ney, op9_mixing, op10_weak_labels)}
-#: Operator 1 in SQL: the same statistics, bins, quartiles and limits.
+#: Operator 1 in SQL: the same statistics, sketches, quartiles and limits.
 _QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -74,20 +74,25 @@ r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i +
 s AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
   CAST(len(ls) AS BIGINT) AS n_lines, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
-  length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks FROM w LEFT JOIN r ON r.rid = w.rid),
+  length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digits FROM w LEFT JOIN r ON r.rid = w.rid),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-m AS (SELECT *, unnest([{'rule': 'symbol', 'num': n_symbols, 'den': n_words, 'slack': 150}, {'rule': 'dup_line', 'num': n_dup_lines, 'den': n_lines, 'slack': 600},
-  {'rule': 'repeat', 'num': n_repeat_words, 'den': n_words, 'slack': 350}, {'rule': 'upper', 'num': n_upper, 'den': n_letters, 'slack': 150}, {'rule': 'mark', 'num': n_marks, 'den': n_words, 'slack': 150}]) AS q FROM f),
-b AS (SELECT rid, lang, source, base_failed, q.rule AS rule, q.slack AS slack, CAST(least(1000, floor(q.num * 1000 / greatest(q.den, 1))) AS BIGINT) AS bin FROM m),
-o AS (SELECT 0 AS level, lang, source, rule, slack, bin FROM b WHERE NOT base_failed UNION ALL SELECT 1, lang, NULL, rule, slack, bin FROM b WHERE NOT base_failed UNION ALL SELECT 2, NULL, NULL, rule, slack, bin FROM b WHERE NOT base_failed),
-h AS (SELECT level, lang, source, rule, slack, bin, count(*) AS n FROM o GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM h),
-l AS (SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN upto * 100 >= total * 75 THEN bin END) * 7 - min(CASE WHEN upto * 100 >= total * 25 THEN bin END) * 6 + max(slack) AS own FROM c GROUP BY 1, 2, 3, 4),
-x AS (SELECT a.lang, a.source, a.rule, CAST(CASE WHEN a.total >= 100 THEN a.own WHEN e.total >= 100 THEN e.own ELSE z.own END AS BIGINT) AS lim FROM l a JOIN l e ON e.level = 1 AND e.rule = a.rule AND e.lang IS NOT DISTINCT FROM a.lang JOIN l z ON z.level = 2 AND z.rule = a.rule WHERE a.level = 0),
-y AS (SELECT lang, source, max(CASE WHEN rule = 'symbol' THEN lim END) AS max_symbol, max(CASE WHEN rule = 'dup_line' THEN lim END) AS max_dup_line, max(CASE WHEN rule = 'repeat' THEN lim END) AS max_repeat, max(CASE WHEN rule = 'upper' THEN lim END) AS max_upper, max(CASE WHEN rule = 'mark' THEN lim END) AS max_mark FROM x GROUP BY 1, 2),
-v AS (SELECT b.rid, bool_and(b.bin <= coalesce(x.lim, 1000)) AS ok FROM b LEFT JOIN x ON x.rule = b.rule AND x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source GROUP BY 1)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND v.ok AS kept, max_symbol, max_dup_line, max_repeat, max_upper, max_mark
-FROM f JOIN v ON v.rid = f.rid LEFT JOIN y ON y.lang IS NOT DISTINCT FROM f.lang AND y.source IS NOT DISTINCT FROM f.source
+m AS (SELECT *, unnest([{'rule': 'odd', 'num': word_chars - n_letters - n_digits, 'den': word_chars}, {'rule': 'upper', 'num': n_upper, 'den': n_letters}, {'rule': 'long_words', 'num': word_chars, 'den': n_words},
+  {'rule': 'short_words', 'num': n_words, 'den': word_chars}, {'rule': 'repeat', 'num': n_repeat_words, 'den': n_words}, {'rule': 'dup_line', 'num': n_dup_lines, 'den': n_lines}]) AS q FROM f),
+b AS (SELECT rid, lang, source, base_failed, q.rule AS rule, CAST(1000000 * q.num // greatest(q.den, 1) AS BIGINT) AS v FROM m),
+h AS (SELECT *, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 10)) AS bin FROM b WHERE NOT base_failed AND v > 0),
+o AS (SELECT 0 AS level, lang, source, rule, bin FROM h UNION ALL SELECT 1, lang, NULL, rule, bin FROM h UNION ALL SELECT 2, NULL, NULL, rule, bin FROM h),
+n AS (SELECT level, lang, source, rule, bin, count(*) AS n FROM o GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM n),
+l AS (SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN upto * 4 >= total * 2 THEN bin END) AS mid, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q FROM c GROUP BY 1, 2, 3, 4),
+e AS (SELECT level, lang, source, rule, CAST(total AS DOUBLE) AS total, CAST(mid AS DOUBLE) AS mid, CAST(q + (1::BIGINT << greatest(0, length(bin(q)) - 10)) AS DOUBLE) AS high FROM l),
+u AS (SELECT a.lang, a.source, a.rule, (a.total * a.mid + 100 * ((k.total * k.mid + 100 * z.mid) / (k.total + 100))) / (a.total + 100) AS mid, (a.total * a.high + 100 * ((k.total * k.high + 100 * z.high) / (k.total + 100))) / (a.total + 100) AS high
+  FROM e a JOIN e k ON k.level = 1 AND k.rule = a.rule AND k.lang IS NOT DISTINCT FROM a.lang JOIN e z ON z.level = 2 AND z.rule = a.rule WHERE a.level = 0),
+x AS (SELECT lang, source, rule, CAST(floor(mid + 12 * (high - mid)) AS BIGINT) AS lim FROM u),
+y AS (SELECT lang, source, max(CASE WHEN rule = 'odd' THEN lim END) AS max_odd, max(CASE WHEN rule = 'upper' THEN lim END) AS max_upper, max(CASE WHEN rule = 'long_words' THEN lim END) AS max_long_words,
+  max(CASE WHEN rule = 'short_words' THEN lim END) AS max_short_words, max(CASE WHEN rule = 'repeat' THEN lim END) AS max_repeat, max(CASE WHEN rule = 'dup_line' THEN lim END) AS max_dup_line FROM x GROUP BY 1, 2),
+j AS (SELECT b.rid, bool_and(x.lim IS NULL OR b.v <= x.lim) AS ok FROM b LEFT JOIN x ON x.rule = b.rule AND x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source GROUP BY 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND j.ok AS kept, max_odd, max_upper, max_long_words, max_short_words, max_repeat, max_dup_line
+FROM f JOIN j ON j.rid = f.rid LEFT JOIN y ON y.lang IS NOT DISTINCT FROM f.lang AND y.source IS NOT DISTINCT FROM f.source
 """
 
 ORACLES: dict[str, str] = {"op1_quality_rules": _QUALITY}
