@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions.expressions import compile_expression, symbols
 from gridspark.operators.model import Grid, check_nodata, choose_dtype, choose_nodata, same_size, spark_of
+from gridspark.plans.iterate import cut
 
 INF = float("inf")
 
@@ -149,13 +151,31 @@ def value_counts(grid: Grid) -> DataFrame:
     return grid.px.filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
 
 
-def raster_reduce(function: Callable[[float, float], float], grid: Grid, initial: float, mask_nodata: bool = True) -> float:
-    """Left fold of the cells in row order, which is sequential by definition: cells are streamed
-    to the driver partition by partition.  Prefer an aggregate where the function is one."""
+def raster_reduce(function: Callable[[float, float], float], grid: Grid, initial: float, mask_nodata: bool = True, merge: Callable[[float, float], float] | None = None) -> float:
+    """Fold of the cells.
+
+    With ``merge``, which joins two folds that began at ``initial``, partitions are folded where
+    they are and one number each reaches the driver.  Without it the fold is sequential, in row
+    order: blocks of rows are streamed to the driver, for functions whose order matters.
+    """
     px = grid.px.filter("v is not null") if mask_nodata else grid.px.fillna({"v": float(grid.nodata or 0)})
+    if merge is None:
+        out = initial
+        for row in px.orderBy("y", "x").select("v").toLocalIterator():
+            out = function(out, row.v)
+        return out
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = initial
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                own = function(own, v)
+        yield pa.RecordBatch.from_arrays([pa.array([float(own)])], ["v"])
+
+    parts = px.select("v").mapInArrow(fold, "v double").collect()  # a number a partition
     out = initial
-    for row in px.orderBy("y", "x").select("v").toLocalIterator():
-        out = function(out, row.v)
+    for r in parts:
+        out = merge(out, r.v)
     return out
 
 
@@ -168,7 +188,7 @@ def percentiles(grid: Grid, cutoffs: Sequence[float]) -> DataFrame:
     spark = spark_of(grid)
     v = F.col("v").cast("double")
     counts = grid.px.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < INF)).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")).persist()
+    ranged = cut(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
     totals = {r.p: r.n for r in ranged.groupBy("p").agg(F.sum("n").alias("n")).collect()}
     n = sum(totals.values())
     if not n:

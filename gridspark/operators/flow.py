@@ -10,13 +10,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridspark.operators import spread
 from gridspark.operators.focal import OFFSETS, SQRT2, stencil
-from gridspark.operators.model import Grid
+from gridspark.operators.model import Grid, dense
 from gridspark.plans.iterate import cut, gather, jump
+from gridspark.plans.tiles import Tile, settle
 
 STEP = tuple(1.0 if dy == 0 or dx == 0 else SQRT2 for dy, dx in OFFSETS)
 
@@ -49,55 +52,27 @@ def d8_local(dem: Grid) -> DataFrame:
     return stencil(dem.px.select("y", "x", F.col("v").cast("double").alias("v"))).withColumn("d", _steepest())
 
 
-def _outward() -> Column:
-    """Direction to missing neighbours: the first side, else the last corner."""
-    side = F.coalesce(*(F.when(F.col(f"n{k}").isNull(), k) for k in (0, 2, 4, 6)))
-    return F.coalesce(side, *(F.when(F.col(f"n{k}").isNull(), k) for k in (7, 5, 3, 1)))
-
-
 def flow_dir_d8(dem: Grid) -> Grid:
     """D8 directions; flats drain along shortest ways to a lower neighbour, or else off the data.
 
     Ties of distance go to the drain that comes first in row order, then to the lowest direction.
     Pits that are not filled have no direction.
     """
-    local = cut(d8_local(dem).filter("v is not null").withColumn("i", number(dem)))
-    flat = local.filter("d is null")
-    state = local.filter("d is not null").select("i", "d")
-    for drains in (
-        # neighbours at the same height that descend
-        local.filter("d is not null").select("i", "y", "x", "v"),
-        # cells on the edge of the data
-        flat.filter(_outward().isNotNull()).select("i", "y", "x", "v", _outward().alias("d")),
-    ):
-        settled = state.select("i")
-        if "d" in drains.columns:
-            drains = drains.join(settled, "i", "left_anti")
-            state = cut(state.unionByName(drains.select("i", "d")))
-        reached = _relax(dem, flat.join(settled, "i", "left_anti"), drains)
-        state = cut(state.unionByName(reached.join(state.select("i"), "i", "left_anti")))
-    px = dem.px.select("y", "x", number(dem).alias("i")).join(state, "i", "left").select("y", "x", F.col("d").alias("v"))
-    return dem.with_px(px, dtype="uint8", nodata=128)
-
-
-def _relax(dem: Grid, flat: DataFrame, drains: DataFrame) -> DataFrame:
-    """(i, d) of flat cells that a way of equal heights leads to a drain, by shortest distance."""
-    ways = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(STEP[k]).alias("step")) for k in range(8))))
-    links = flat.select("i", "y", "x", "v", ways.alias("s")).select("i", "v", F.col("s.k").alias("k"), F.col("s.step").alias("step"), moved(dem, F.col("s.k")).alias("j")).filter("j is not null")
-    every = flat.select("i", "v").union(drains.select("i", "v")).distinct().select(F.col("i").alias("j"), F.col("v").alias("u"))
-    links = cut(links.join(every, "j").filter("v = u").select("i", "j", "k", "step"))
-    found = cut(drains.select("i", F.lit(0.0).alias("dist"), F.col("i").alias("origin"), F.lit(None).cast("int").alias("d")))
-    front = found
-    while True:
-        reach = links.join(front.select(F.col("i").alias("j"), "dist", "origin"), "j").select("i", F.struct((F.col("dist") + F.col("step")).alias("dist"), "origin", F.col("k").alias("d")).alias("c"))
-        best = reach.groupBy("i").agg(F.min("c").alias("c")).select("i", "c.*")
-        old = found.select("i", F.col("dist").alias("od"), F.col("origin").alias("oo"), F.col("d").alias("ok"))
-        better = best.join(old, "i", "left").filter(F.col("od").isNull() | (F.struct("dist", "origin", "d") < F.struct("od", "oo", "ok")) & (F.col("od") > 0))
-        front = cut(better.select("i", "dist", "origin", "d"))
-        if front.limit(1).count() == 0:
-            break
-        found = cut(found.join(front.select("i"), "i", "left_anti").unionByName(front))
-    return found.filter("d is not null").select("i", "d")
+    shape = (dem.n_rows, dem.n_cols)
+
+    def inner(tile: Tile) -> dict[str, np.ndarray]:
+        z, d = tile.layers[0], spread.steepest(tile.layers[0])
+        return {"v": z, "d": np.where(np.isnan(d), tile.state[3], d)}
+
+    def outer(tile: Tile) -> dict[str, np.ndarray]:
+        z, d = tile.layers
+        own = np.where(spread.outer_drains(tile)[0], spread.outward(z), tile.state[3])
+        return {"v": z, "d": np.where(np.isnan(d), own, d)}
+
+    first = cut(settle(dem.px, ["v"], *shape, spread.drain_flats(dem.n_cols, spread.inner_drains), inner, "v double, d double", states=4))
+    if first.filter("v is not null and d is null").limit(1).count():
+        first = settle(first, ["v", "d"], *shape, spread.drain_flats(dem.n_cols, spread.outer_drains), outer, "v double, d double", states=4)
+    return dem.with_px(first.select("y", "x", F.col("d").cast("int").alias("v")), dtype="uint8", nodata=128)
 
 
 def edges_d8(flow: Grid) -> DataFrame:
@@ -141,36 +116,49 @@ def distance_to_channel_d8(flow: Grid, channel: Grid, weight: Grid | None = None
 
 
 # ---------------------------------------------------------------- pits
-def fill_pits(dem: Grid, outlet: tuple[int, int] | None = None) -> Grid:
+def fill_pits(dem: Grid, outlet: tuple[int, int] | None = None, most_cells: int | None = None) -> Grid:
     """Every cell raised to the lowest height over which it drains to the edge, nodata or the outlet.
 
-    Cells first join the basin of the low point that steepest descent leads to (pointer
-    doubling).  The lowest pass between two basins is one row; heights at which basins drain are
-    relaxed on that small graph, and a cell's height is the larger of its own and its basin's.
+    A tile floods from what its borders say in order of height; only border cells whose level
+    fell are sent on.  With ``most_cells`` a pit of more cells is left as it is: connected raised
+    cells are one pit.
     """
-    local = cut(d8_local(dem).filter("v is not null").withColumn("i", number(dem)))
-    basin = jump(local.select("i", F.when(F.col("d").isNotNull(), moved(dem, F.col("d"))).alias("next")))
-    cells = cut(local.join(basin.withColumnRenamed("end", "basin"), "i"))
-    ways = F.explode(F.array(*map(F.lit, range(4))))  # each pair of neighbours once
-    near = cells.select("i", "y", "x", "v", "basin", ways.alias("k")).select("v", "basin", moved(dem, F.col("k")).alias("i")).filter("i is not null")
-    other = cells.select("i", F.col("v").alias("u"), F.col("basin").alias("to"))
-    passes = near.join(other, "i").filter("basin <> to").groupBy(F.least("basin", "to").alias("a"), F.greatest("basin", "to").alias("b")).agg(F.min(F.greatest("v", "u")).alias("h"))
-    passes = cut(passes.select("a", "b", "h").union(passes.select("b", "a", "h")))
-    if outlet is None:
-        on_edge = reduce(lambda a, b: a | b, (F.col(f"n{k}").isNull() for k in range(8)))
-    else:
-        on_edge = (F.col("x") == outlet[0]) & (F.col("y") == outlet[1])
-    level = cut(cells.filter(on_edge).groupBy("basin").agg(F.min("v").alias("level")))
-    front = level
-    while True:
-        reach = passes.join(front.withColumnRenamed("basin", "b"), "b").groupBy(F.col("a").alias("basin")).agg(F.min(F.greatest("h", "level")).alias("level"))
-        front = cut(reach.join(level.select("basin", F.col("level").alias("old")), "basin", "left").filter("old is null or level < old").select("basin", "level"))
-        if front.limit(1).count() == 0:
-            break
-        level = cut(level.join(front.select("basin"), "basin", "left_anti").unionByName(front))
-    filled = cells.join(level, "basin", "left").select("i", F.greatest("v", "level").alias("f"))
-    px = dem.px.select("y", "x", number(dem).alias("i")).join(filled, "i", "left").select("y", "x", F.col("f").alias("v"))
-    return dem.with_px(px)
+    cells = dem.px if outlet is None else dem.px.withColumn("end", ((F.col("x") == outlet[0]) & (F.col("y") == outlet[1])).cast("int"))
+    layers = ["v"] if outlet is None else ["v", "end"]
+
+    def level(tile: Tile) -> dict[str, np.ndarray]:
+        return {"w": np.where(np.isfinite(tile.state[0]), tile.state[0], np.nan)}
+
+    found = settle(cells, layers, dem.n_rows, dem.n_cols, spread.fill, level, "w double", start=np.inf)
+    v = F.col("v").cast("double")
+    px = dem.px.select("y", "x", v.alias("v")).join(found, ["y", "x"]).select("y", "x", "v", F.when(F.col("v").isNotNull(), F.greatest("v", "w")).alias("w"))
+    if most_cells is None:
+        return dem.with_px(px.select("y", "x", F.col("w").alias("v")))
+    px = cut(px)
+    raised = px.filter("w > v").select("y", "x", F.lit(1).alias("v"))
+    pit = regions(dem.with_px(dense(raised, dem.n_rows, dem.n_cols)))
+    large = pit.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > most_cells)
+    left = pit.join(large, "region").select("y", "x", F.lit(True).alias("left"))
+    return dem.with_px(px.join(left, ["y", "x"], "left").select("y", "x", F.when(F.col("left"), F.col("v")).otherwise(F.col("w")).alias("v")))
+
+
+def regions(mask: Grid) -> DataFrame:
+    """(y, x, region): connected cells (eight neighbours) that are not NULL; a region is named by its least cell number."""
+
+    def solve(tile: Tile) -> None:
+        own = np.where(np.isnan(tile.layers[0]), np.inf, np.minimum(tile.state[0], tile.number(mask.n_cols)))
+        inner = spread.within(tile)
+        own = np.where(inner, own, tile.state[0])
+        while True:
+            best = np.minimum(own, spread.around(own, np.inf).min(axis=0))
+            best = np.where(inner & ~np.isnan(tile.layers[0]), best, own)
+            if np.array_equal(best, own):
+                break
+            own = best
+        tile.state[0] = own
+
+    found = settle(mask.px, ["v"], mask.n_rows, mask.n_cols, solve, lambda t: {"region": np.where(np.isfinite(t.state[0]), t.state[0], np.nan)}, "region double", start=np.inf)
+    return found.filter("region is not null").select("y", "x", F.col("region").cast("long").alias("region"))
 
 
 # ---------------------------------------------------------------- multiple flow directions
@@ -184,41 +172,15 @@ def unpack(v: Column, k: int) -> Column:
 
 
 def flow_dir_mfd(dem: Grid) -> Grid:
-    """Packed weights in proportion to slopes; flats send flow to all nearer neighbours of their height."""
-    local = cut(d8_local(dem).filter("v is not null").withColumn("i", number(dem)))
-    slopes = [F.when(F.col("v") > F.col(f"n{k}"), (F.col("v") - F.col(f"n{k}")) / STEP[k]).otherwise(0.0) for k in range(8)]
-    total = F.nullif(reduce(lambda a, b: a + b, slopes), F.lit(0.0))
-    down = local.filter("d is not null").select("i", pack([F.floor(0.5 + s / total * 15) for s in slopes]).alias("v"))
-    flat = local.filter("d is null")
-    drained = flat.filter(_outward().isNotNull())
-    outs = [F.when(F.col(f"n{k}").isNull(), 1.0 / STEP[k]).otherwise(0.0) for k in range(8)]
-    out_total = F.nullif(reduce(lambda a, b: a + b, outs), F.lit(0.0))
-    # distances over the flat: to lower neighbours first, to the edge of the data where there are none
-    ways = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(STEP[k]).alias("step")) for k in range(8))))
-    every = local.select(F.col("i").alias("j"), F.col("v").alias("u"))
-    links = flat.select("i", "y", "x", "v", ways.alias("s")).select("i", "v", F.col("s.k").alias("k"), F.col("s.step").alias("step"), moved(dem, F.col("s.k")).alias("j")).filter("j is not null")
-    links = cut(links.join(every, "j").filter("v = u").select("i", "j", "k", "step"))
-    first = _distances(links, local.filter("d is not null").select("i"))
-    second = _distances(links.join(first.filter("dist > 0").select("i"), "i", "left_anti"), drained.join(first.filter("dist > 0").select("i"), "i", "left_anti").select("i"))
-    dist = cut(first.unionByName(second.join(first.select("i"), "i", "left_anti")))
-    nearer = links.join(dist.select("i", F.col("dist").alias("own")), "i").join(dist.select(F.col("i").alias("j"), "dist"), "j").filter("dist < own")
-    spread = nearer.groupBy("i").agg(F.sum(1.0 / F.col("step")).alias("t"), *(F.max(F.when(F.col("k") == k, 1.0 / F.col("step"))).alias(f"w{k}") for k in range(8)))
-    level = spread.select("i", pack([F.floor(0.5 + F.coalesce(F.col(f"w{k}"), F.lit(0.0)) / F.col("t") * 15) for k in range(8)]).alias("v"))
-    edge = drained.join(dist.filter("dist = 0").select("i"), "i", "left_semi").select("i", pack([F.floor(0.5 + o / out_total * 15) for o in outs]).alias("v"))
-    packed = down.unionByName(level).unionByName(edge)
-    px = dem.px.select("y", "x", number(dem).alias("i")).join(packed, "i", "left").select("y", "x", "v")
-    return dem.with_px(px, dtype="int32", nodata=0)
-
-
-def _distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(i, dist) over links from seeds at 0."""
-    found = front = cut(seeds.select("i", F.lit(0.0).alias("dist")))
-    while True:
-        best = links.join(front.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min(F.col("dist") + F.col("step")).alias("dist"))
-        front = cut(best.join(found.select("i", F.col("dist").alias("old")), "i", "left").filter("old is null or dist < old - 1e-12").select("i", "dist"))
-        if front.limit(1).count() == 0:
-            return found
-        found = cut(found.join(front.select("i"), "i", "left_anti").unionByName(front))
+    """Packed weights in proportion to slopes; flats send flow to all nearer neighbours of their height.
+
+    Distances over a flat are to lower neighbours, or to the edge of the data where there are none.
+    """
+    shape = (dem.n_rows, dem.n_cols)
+    inner, outer = (spread.drain_flats(dem.n_cols, f) for f in (spread.inner_drains, spread.outer_drains))
+    first = settle(dem.px, ["v"], *shape, inner, lambda t: {"v": t.layers[0], "dist": spread.distance(t)}, "v double, dist double", states=4)
+    px = settle(cut(first), ["v", "dist"], *shape, outer, lambda t: {"v": spread.many_ways(t)}, "v double", states=4)
+    return dem.with_px(px.select("y", "x", F.col("v").cast("int").alias("v")), dtype="int32", nodata=0)
 
 
 def edges_mfd(flow: Grid) -> DataFrame:
@@ -232,47 +194,27 @@ def edges_mfd(flow: Grid) -> DataFrame:
 
 
 def flow_accumulation_mfd(flow: Grid, weight: Grid | None = None) -> Grid:
-    """Share-weighted cells upstream; what a round moves on is summed before its shuffle."""
-    links = cut(edges_mfd(flow).filter("j is not null").select("i", "j", "p"))
-    start = flow.px.filter("v is not null and v <> 0").select(number(flow).alias("i"), F.lit(1.0).alias("total"))
+    """Share-weighted cells upstream; nodata weights count as 0."""
+    cells = flow.px.withColumn("own", F.lit(1.0))
     if weight is not None:
-        start = start.select("i").join(weight.px.select(number(flow).alias("i"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("total")), "i")
-    total = wave = cut(start)
-    for _ in range(flow.n_rows * flow.n_cols):
-        wave = cut(links.join(wave, "i").groupBy("j").agg(F.sum(F.col("p") * F.col("total")).alias("total")).filter("total <> 0").withColumnRenamed("j", "i"))
-        if wave.limit(1).count() == 0:
-            break
-        total = cut(total.unionByName(wave).groupBy("i").agg(F.sum("total").alias("total")))
-    px = flow.px.select("y", "x", number(flow).alias("i")).join(total, "i", "left").select("y", "x", F.col("total").alias("v"))
+        cells = flow.px.join(weight.px.select("y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("own")), ["y", "x"])
+    px = settle(cells, ["v", "own"], flow.n_rows, flow.n_cols, spread.accumulate, lambda t: {"v": t.state[0]}, "v double")
     return flow.with_px(px, dtype="float64", nodata=-1.23789789e29)
 
 
 def distance_to_channel_mfd(flow: Grid, channel: Grid, weight: Grid | None = None) -> Grid:
     """Mean length to channels over the ways that reach one, weighted by flow; -1 where none does."""
-    links = edges_mfd(flow).filter("j is not null").withColumn("step", F.element_at(F.array(*map(F.lit, STEP)), F.col("k") + 1))
+    cells = flow.px.join(channel.px.select("y", "x", (F.coalesce(F.col("v"), F.lit(0)) == 1).cast("int").alias("on")), ["y", "x"])
     if weight is not None:
-        w = weight.px.select(number(flow).alias("j"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("step"))
-        links = links.drop("step").join(w, "j")
-    on = channel.px.filter("v = 1").select(number(flow).alias("i"))
-    links = cut(links.join(on, "i", "left_anti").select("i", "j", "p", "step"))
-    reaches = cut(on.distinct())
-    while True:  # which cells reach a channel at all
-        more = cut(links.join(reaches.withColumnRenamed("i", "j"), "j", "left_semi").select("i").distinct().join(reaches, "i", "left_anti"))
-        if more.limit(1).count() == 0:
-            break
-        reaches = cut(reaches.unionByName(more))
-    useful = cut(links.join(reaches.withColumnRenamed("i", "j"), "j", "left_semi"))
-    degree = useful.groupBy("i").agg(F.count("*").alias("need"))
-    done = cut(on.distinct().select("i", F.lit(0.0).alias("v")))
-    while True:  # a cell is settled when all its useful ways are
-        ready = useful.join(done.select(F.col("i").alias("j"), "v"), "j").groupBy("i").agg(F.count("*").alias("have"), (F.sum(F.col("p") * (F.col("step") + F.col("v"))) / F.sum("p")).alias("v"))
-        new = cut(ready.join(degree, "i").filter("have = need").select("i", "v").join(done.select("i"), "i", "left_anti"))
-        if new.limit(1).count() == 0:
-            break
-        done = cut(done.unionByName(new))
-    there = flow.px.filter("v is not null and v <> 0").select(number(flow).alias("i"))
-    found = there.unionByName(on).distinct().join(done, "i", "left").select("i", F.coalesce("v", F.lit(-1.0)).alias("d"))
-    px = flow.px.select("y", "x", number(flow).alias("i")).join(found, "i", "left").select("y", "x", F.col("d").alias("v"))
+        cells = cells.join(weight.px.select("y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("step")), ["y", "x"])
+    else:
+        cells = cells.withColumn("step", F.lit(None).cast("double"))
+
+    def length(tile: Tile) -> dict[str, np.ndarray]:
+        there = ~np.isnan(tile.layers[0]) & (tile.layers[0] != 0) | (tile.layers[1] == 1)
+        return {"v": np.where(there, np.where(np.isnan(tile.state[0]), -1.0, tile.state[0]), np.nan)}
+
+    px = settle(cells, ["v", "on", "step"], flow.n_rows, flow.n_cols, spread.to_channel, length, "v double")
     return flow.with_px(px, dtype="float64", nodata=-1.0)
 
 
@@ -281,27 +223,18 @@ def extract_streams_mfd(accumulation: Grid, flow: Grid, threshold: float, trace_
     """Streams above a threshold that drain off the data, with weaker stretches kept where a strong one lies upstream."""
     if not 0 <= trace_proportion <= 1:
         raise ValueError("the trace proportion must be between 0 and 1")
-    acc = accumulation.px.select(number(flow).alias("i"), F.col("v").alias("a"))
-    links = cut(edges_mfd(flow).select("i", "j"))
-    strong = F.col("a") >= threshold
-    seeds = acc.filter(strong).join(links.filter("j is null").select("i").distinct(), "i")
-    walkable = cut(acc.filter(F.col("a") >= threshold * trace_proportion))
-    up = cut(links.filter("j is not null").join(walkable.select("i"), "i", "left_semi"))
-    found = front = cut(seeds.select("i").distinct())
-    while True:  # upstream from the seeds over walkable cells
-        front = cut(up.join(front.withColumnRenamed("i", "j"), "j", "left_semi").select("i").distinct().join(found, "i", "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        found = cut(found.unionByName(front))
-    kept = front = cut(found.join(acc.filter(strong).select("i"), "i", "left_semi"))
-    inner = cut(up.join(found, "i", "left_semi").join(found.withColumnRenamed("i", "j"), "j", "left_semi"))
-    while True:  # weak cells downstream of strong ones are kept
-        front = cut(inner.join(front, "i", "left_semi").select(F.col("j").alias("i")).distinct().join(kept, "i", "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        kept = cut(kept.unionByName(front))
-    on = kept.select("i", F.lit(1).alias("on"))
-    px = accumulation.px.select("y", "x", F.col("v").alias("a"), number(flow).alias("i")).join(on, "i", "left").select("y", "x", F.when(F.col("a").isNotNull(), F.coalesce("on", F.lit(0))).alias("v"))
+    def mark(cells: DataFrame, direction: int) -> DataFrame:
+        return cut(settle(cells, ["v", "seed", "may"], flow.n_rows, flow.n_cols, spread.reach(direction), lambda t: {"on": t.state[0]}, "on double"))
+
+    out = edges_mfd(flow).filter("j is null").select(F.expr(f"i div {flow.n_cols}").alias("y"), F.expr(f"i % {flow.n_cols}").alias("x"), F.lit(True).alias("out")).distinct()
+    cells = flow.px.select("y", "x", "v").join(accumulation.px.select("y", "x", F.col("v").alias("a")), ["y", "x"]).join(out, ["y", "x"], "left")
+    cells = cut(cells.withColumn("strong", F.coalesce(F.col("a") >= threshold, F.lit(False))))
+    seed = F.col("strong") & F.col("out").isNotNull()
+    # upstream from strong cells that drain off the data, then downstream from the strong ones among those
+    up = mark(cells.select("y", "x", "v", seed.cast("int").alias("seed"), F.coalesce(F.col("a") >= threshold * trace_proportion, F.lit(False)).cast("int").alias("may")), -1)
+    found = cells.join(up, ["y", "x"])
+    on = mark(found.select("y", "x", "v", (F.col("strong") & (F.col("on") == 1)).cast("int").alias("seed"), F.col("on").alias("may")), 1)
+    px = cells.join(on, ["y", "x"]).select("y", "x", F.when(F.col("a").isNotNull(), F.col("on").cast("int")).alias("v"))
     return accumulation.with_px(px, dtype="uint8", nodata=255)
 
 
@@ -338,8 +271,8 @@ def stream_segments(flow: Grid, streams: DataFrame) -> DataFrame:
     """(start, ds, order): segments between junctions of stream cells ``i``, with Strahler orders.
 
     ``start`` is a source or junction, ``ds`` the next junction below (NULL at an outlet).  Orders
-    take a round per level of the segment graph: 1 at sources, else the largest above, one more
-    where two or more above have it.
+    are 1 at sources, else the largest above, one more where two or more above have it.  They
+    take a round per order (and pointer doubling in it), not per segment of the longest way.
     """
     on = cut(streams.select("i").distinct())
     links = edges_d8(flow).join(on, "i", "left_semi").join(on.select(F.col("i").alias("next"), F.lit(True).alias("t")), "next", "left").select("i", F.when(F.col("t"), F.col("next")).alias("next"))
@@ -351,16 +284,19 @@ def stream_segments(flow: Grid, streams: DataFrame) -> DataFrame:
     ends = jump(stop.select("i", F.when(F.col("s").isNull(), F.col("next")).alias("next")))
     below = links.select(F.col("i").alias("end"), F.col("next").alias("ds"))
     seg = cut(ends.join(starts, "i", "left_semi").join(below, "end").select(F.col("i").alias("start"), "end", "ds"))
-    need = seg.filter("ds is not null").groupBy(F.col("ds").alias("start")).agg(F.count("*").alias("need"))
-    orders = cut(seg.select("start").join(need, "start", "left_anti").select("start", F.lit(1).alias("order")))
+    links = cut(seg.select(F.col("start").alias("i"), F.col("ds").alias("next")))
+    orders, order = cut(links.select("i", F.lit(1).alias("order"))), 1
     while True:
-        above = seg.join(orders, "start").filter("ds is not null").groupBy(F.col("ds").alias("start")).agg(F.count("*").alias("have"), F.max("order").alias("m"), F.collect_list("order").alias("all"))
-        step = above.join(need, "start").filter("have = need").join(orders.select("start"), "start", "left_anti")
-        step = cut(step.select("start", (F.col("m") + (F.size(F.filter("all", lambda o: o == F.col("m"))) > 1).cast("int")).alias("order")))
-        if step.limit(1).count() == 0:
+        # where two of this order or more meet the next one begins, and it holds from there on down
+        high = links.join(orders.filter(F.col("order") == order), "i").filter("next is not null")
+        meet = cut(high.groupBy(F.col("next").alias("i")).agg(F.count("*").alias("n")).filter("n > 1").select("i", F.lit(1.0).alias("w")))
+        if meet.limit(1).count() == 0:
             break
-        orders = cut(orders.unionByName(step))
-    return seg.join(orders, "start").select("start", "end", "ds", "order")
+        marked = links.join(meet, "i", "left").select("i", "next", F.coalesce("w", F.lit(0.0)).alias("w"), F.lit(1.0).alias("f"))
+        order += 1
+        higher = gather(marked).filter("total > 0").select("i", F.lit(order).alias("new"))
+        orders = cut(orders.join(higher, "i", "left").select("i", F.coalesce("new", "order").alias("order")))
+    return seg.join(orders.withColumnRenamed("i", "start"), "start").select("start", "end", "ds", "order")
 
 
 def extract_strahler_streams_d8(flow: Grid, accumulation: Grid, dem: Grid, threshold: float = 100, min_p: float = 0.05, autotune: bool = False) -> DataFrame:
@@ -418,6 +354,12 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 # ---------------------------------------------------------------- watersheds
+def _first_seed(links: DataFrame, is_seed: DataFrame) -> DataFrame:
+    """(i, end): the first seed on each cell's way down, itself included; cells that meet none are left out."""
+    stopped = links.join(is_seed, "i", "left").select("i", F.when(F.col("s").isNull(), F.col("next")).alias("next"))
+    return jump(stopped).join(is_seed.select(F.col("i").alias("end"), "s"), "end").select("i", "end")
+
+
 def delineate_watersheds_d8(flow: Grid, seeds: DataFrame) -> DataFrame:
     """(ws_id, i): all cells upstream of each watershed's seed cells (ws_id, i), seeds included.
 
@@ -427,8 +369,7 @@ def delineate_watersheds_d8(flow: Grid, seeds: DataFrame) -> DataFrame:
     links = cut(edges_d8(flow))
     marks = cut(seeds.select("ws_id", "i").distinct().join(links.select("i"), "i", "left_semi"))
     is_seed = marks.select("i").distinct().withColumn("s", F.lit(True))
-    stopped = links.join(is_seed, "i", "left").select("i", F.when(F.col("s").isNull(), F.col("next")).alias("next"))
-    first = cut(jump(stopped).join(is_seed.select(F.col("i").alias("end"), "s"), "end").select("i", "end"))
+    first = cut(_first_seed(links, is_seed))
     below = links.join(is_seed, "i").filter("next is not null").select(F.col("i").alias("seed"), F.col("next").alias("i")).join(first, "i").select("seed", F.col("end").alias("to"))
     member = front = cut(marks.select(F.col("i").alias("seed"), "ws_id"))
     while True:
@@ -441,11 +382,9 @@ def delineate_watersheds_d8(flow: Grid, seeds: DataFrame) -> DataFrame:
 
 def subwatersheds(flow: Grid, segments: DataFrame, at_confluence: bool = False) -> DataFrame:
     """(start, i): cells labelled by the stream segment that they first drain into."""
-    heads = segments.select("start", F.col("end" if not at_confluence else "start").alias("i"))
-    found = delineate_watersheds_d8(flow, heads.select(F.col("start").alias("ws_id"), "i"))
-    # of nested ones the nearest downstream seed is the cell's own: the one with the least area
-    size = found.groupBy("ws_id").agg(F.count("*").alias("n"))
-    return found.join(size, "ws_id").groupBy("i").agg(F.min_by("ws_id", F.struct("n", "ws_id")).alias("start")).select("start", "i")
+    heads = cut(segments.select("start", F.col("end" if not at_confluence else "start").alias("end")))
+    seeds = heads.select(F.col("end").alias("i"), F.lit(True).alias("s")).distinct()
+    return _first_seed(cut(edges_d8(flow)), seeds).join(heads, "end").select("start", "i")
 
 
 def discovery_finish(flow: Grid) -> DataFrame:

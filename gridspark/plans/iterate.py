@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Nodes whose paths one task follows in memory (a few tens of megabytes); larger graphs take the rounds below, with the same results.
+ONE_TASK = 1 << 18
+
+
+def _in_one_task(state: DataFrame, solve: Callable[[pa.Table], pa.Table], like: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from solve(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return cut(state.coalesce(1).mapInArrow(run, like.schema))
+
+
+def _targets(table: pa.Table) -> np.ndarray:
+    """Row that each row's ``next`` names, -1 without one."""
+    ids, after = table["i"].to_numpy(), table["next"].fill_null(0).to_numpy()
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, after, sorter=order), len(ids) - 1)]
+    some = table["next"].is_valid().to_numpy(zero_copy_only=False)
+    return np.where(some & (ids[at] == after), at, -1)
+
+
+def _jumped(table: pa.Table, sums: dict) -> pa.Table:
+    to = _targets(table)
+    end, values = np.arange(len(to)), {c: table[c].to_numpy(zero_copy_only=False) for c in sums}
+    for _ in range(40):
+        go = np.flatnonzero(to >= 0)
+        if not len(go):
+            break
+        far = to[go]
+        new = {c: f(v[go], v[far]) for (c, f), v in zip(sums.items(), values.values(), strict=True)}
+        end_go, to_go = end[far], to[far]
+        end[go], to[go] = end_go, to_go
+        for c, v in new.items():
+            values[c] = values[c].copy()
+            values[c][go] = v
+    ends = pa.array(table["i"].to_numpy()[end], mask=to >= 0)
+    return pa.table([table["i"], ends, *(pa.array(values[c], table[c].type, from_pandas=True) for c in sums)], names=["i", "end", *sums])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    to = _targets(table)
+    total, factor = table["total"].to_numpy().copy(), table["f"].to_numpy().copy()
+    for _ in range(40):
+        go = np.flatnonzero(to >= 0)
+        if not len(go):
+            break
+        add = np.bincount(to[go], factor[go] * total[go], len(to))
+        far_factor, far = factor[to[go]], to[to[go]]
+        total += add
+        factor[go] *= far_factor
+        to[go] = far
+    return pa.table({"i": table["i"], "total": pa.array(total)})
+
+
 def jump(nodes: DataFrame, sums: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Follow ``next`` to its end for all nodes at once: (i, next) gives (i, end, ...).
 
@@ -30,6 +87,8 @@ def jump(nodes: DataFrame, sums: dict[str, Callable[[Column, Column], Column]] |
     """
     sums = sums or {}
     state = cut(nodes.select("i", "next", F.col("i").alias("end"), *sums))
+    if state.count() <= ONE_TASK:
+        return _in_one_task(state, lambda table: _jumped(table, sums), state.drop("next"))
     for _ in range(40):
         if state.filter("next is not null").limit(1).count() == 0:
             break
@@ -55,6 +114,8 @@ def gather(nodes: DataFrame) -> DataFrame:
     come before every shuffle, so a node with many followers is no hot spot.
     """
     state = cut(nodes.select("i", "next", F.col("w").cast("double").alias("total"), F.col("f").cast("double").alias("f")))
+    if state.count() <= ONE_TASK:
+        return _in_one_task(state, _gathered, state.select("i", "total"))
     for _ in range(40):
         moving = state.filter("next is not null")
         if moving.limit(1).count() == 0:

@@ -30,8 +30,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(grid: Grid, name: str = "v", digits: int = 6) -> DataFrame:
-    return grid.px.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.round(F.col("v").cast("double"), digits) + 0.0).alias(name))
+def rounded(grid: Grid, name: str = "v", digits: int = 6, off: float = 0.0) -> DataFrame:
+    """``off`` moves sums of binary fractions, whose last bits follow the order of summation, off the edge between two roundings."""
+    return grid.px.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.round(F.col("v").cast("double") + off, digits) + 0.0).alias(name))
 
 
 def whole(grid: Grid, name: str = "v") -> DataFrame:
@@ -87,7 +88,11 @@ def stats_observe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(sum(v) AS DOUBLE) AS total, count(v) AS n FROM qty")
 def reduce_sum(spark: SparkSession, d: str) -> DataFrame:
-    return views.qty(spark, d).px.agg(F.sum("v").cast("double").alias("total"), F.count("v").alias("n"))
+    """A mergeable reducer over partitions: sum and count of the cells with data."""
+    q = views.qty(spark, d)
+    total = algebra.raster_reduce(lambda a, b: a + b, q, 0.0, merge=lambda a, b: a + b)
+    n = algebra.raster_reduce(lambda a, b: a + 1, q, 0, merge=lambda a, b: a + b)
+    return spark.createDataFrame([(float(total), int(n))], "total double, n long")
 
 
 @query(
@@ -281,14 +286,28 @@ def overview_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- focal
-@query(
-    """, r AS (SELECT y, x, v, lag(v) OVER (PARTITION BY y ORDER BY x) AS w, lead(v) OVER (PARTITION BY y ORDER BY x) AS e FROM emb),
-n AS (SELECT y, x, w AS d, e AS f, lag(w) OVER k AS a, lag(v) OVER k AS b, lag(e) OVER k AS c, lead(w) OVER k AS g, lead(v) OVER k AS h, lead(e) OVER k AS i FROM r WINDOW k AS (PARTITION BY x ORDER BY y))
-SELECT y, x, round(100 * sqrt(pow(((a - c) + 2 * (d - f) + (g - i)) / 8, 2) + pow(((a - g) + 2 * (b - h) + (c - i)) / 8, 2)), 6) AS v FROM n WHERE a IS NOT NULL AND c IS NOT NULL AND g IS NOT NULL AND i IS NOT NULL"""
-)
+def _line(a: str, b: str, c: str, weight: int) -> tuple[str, str]:
+    """Numerator and denominator of the difference along one line of three cells, as far as they have data."""
+    both, root = f"{a} IS NOT NULL AND {c} IS NOT NULL", f"{focal.SQRT2!r}::DOUBLE"
+    if weight == 2:
+        return f"CASE WHEN {both} THEN 2 * ({a} - {c}) WHEN {a} IS NOT NULL THEN 2 * ({a} - z) WHEN {c} IS NOT NULL THEN 2 * (z - {c}) ELSE 0 END", f"CASE WHEN {both} THEN 4 WHEN {a} IS NOT NULL OR {c} IS NOT NULL THEN 2 ELSE 0 END"
+    number = f"CASE WHEN {both} THEN {a} - {c} WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {a} - {b} WHEN {b} IS NOT NULL AND {c} IS NOT NULL THEN {b} - {c} WHEN {a} IS NOT NULL THEN ({a} - z) * {root} WHEN {c} IS NOT NULL THEN (z - {c}) * {root} ELSE 0 END"
+    return number, f"CASE WHEN {both} THEN 2 WHEN {a} IS NOT NULL OR {c} IS NOT NULL THEN 1 ELSE 0 END"
+
+
+def _axis(lines: list[tuple[str, str, str, int]]) -> str:
+    parts = [_line(*x) for x in lines]
+    num, den = (" + ".join(f"({p[k]})" for p in parts) for k in (0, 1))
+    return f"coalesce(({num}) / nullif(CAST({den} AS DOUBLE), 0), 0)"
+
+
+_SLOPES = (_axis([("n3", "n2", "n1", 1), ("n4", "z", "n0", 2), ("n5", "n6", "n7", 1)]), _axis([("n3", "n4", "n5", 1), ("n2", "z", "n6", 2), ("n1", "n0", "n7", 1)]))
+
+
+@query()
 def slope_pct(spark: SparkSession, d: str) -> DataFrame:
-    e = views.emb(spark, d)
-    return rounded(focal.slope(e)).filter((F.col("y") > 0) & (F.col("x") > 0) & (F.col("x") < 63) & (F.col("y") < e.n_rows - 1))
+    """All cells of a grid with nodata, edges included."""
+    return rounded(focal.slope(views.qty(spark, d)))
 
 
 KERNEL = np.array([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]])
@@ -353,9 +372,9 @@ def d8_local(spark: SparkSession, d: str) -> DataFrame:
     return whole(_local(spark, d))
 
 
-@query(f"{D8} SELECT d.y, d.x FROM dd d LEFT JOIN dd n ON n.y = d.ny AND n.x = d.nx WHERE n.d IS NULL")
+@query(f"{D8} SELECT row_number() OVER (ORDER BY d.y, d.x) - 1 AS id, d.y, d.x FROM dd d LEFT JOIN dd n ON n.y = d.ny AND n.x = d.nx WHERE n.d IS NULL")
 def outlets_d8(spark: SparkSession, d: str) -> DataFrame:
-    return flow.detect_outlets(_local(spark, d), "d8").select("y", "x")
+    return flow.detect_outlets(_local(spark, d), "d8")
 
 
 def _recursive(body: str) -> str:
@@ -413,48 +432,171 @@ ORACLES["watershed_d8"] = _recursive("SELECT ty * 64 + tx AS ws_id, y, x FROM up
 
 @query()
 def discovery_finish(spark: SparkSession, d: str) -> DataFrame:
-    """Size of the interval of each cell: what it must hold is the cells upstream."""
+    """Both preorder numbers of every cell: upstream cells of one cell by number, outlets by number."""
     local = _local(spark, d)
-    return flow.discovery_finish(local).select(F.expr("i div 64").alias("y"), F.expr("i % 64").alias("x"), (F.col("fin") - F.col("disc") + 1).alias("v"))
+    return flow.discovery_finish(local).select(F.expr("i div 64").alias("y"), F.expr("i % 64").alias("x"), "disc", "fin")
 
 
-ORACLES["discovery_finish"] = ORACLES["accum_d8"]
+ORACLES["discovery_finish"] = (
+    _recursive("").rstrip()
+    + """, size AS MATERIALIZED (SELECT ty * 64 + tx AS i, count(*) AS n FROM up GROUP BY 1), par AS MATERIALIZED (SELECT d.y * 64 + d.x AS i, CASE WHEN e.y IS NOT NULL THEN d.ny * 64 + d.nx END AS p FROM dd d LEFT JOIN dd e ON e.y = d.ny AND e.x = d.nx),
+off AS MATERIALIZED (SELECT par.i, par.p, CASE WHEN par.p IS NULL THEN 0 ELSE 1 END + coalesce(sum(size.n) OVER (PARTITION BY par.p ORDER BY par.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM par JOIN size ON size.i = par.i),
+num AS (SELECT u.y * 64 + u.x AS i, CAST(sum(off.o) AS BIGINT) AS disc FROM up u JOIN off ON off.i = u.ty * 64 + u.tx GROUP BY 1)
+SELECT num.i // 64 AS y, num.i % 64 AS x, disc, disc + n - 1 AS fin FROM num JOIN size USING (i)"""
+).replace("off AS (SELECT unnest(range(8)) AS k", "off8 AS (SELECT unnest(range(8)) AS k").replace("JOIN off ON true", "JOIN off8 ON true")
 
 
-@query(
-    f"{D8}, s AS (SELECT q.y, q.x, k, (q.v - n.v) / CASE WHEN s = 1 THEN 1 ELSE sqrt(2) END AS g FROM qty q JOIN off ON true JOIN qty n ON n.y = q.y + dy AND n.x = q.x + dx WHERE q.v > n.v)"
-    " SELECT y, x, sum(CAST(floor(0.5 + g / t * 15) AS BIGINT) * CAST(pow(16, k) AS BIGINT)) AS v FROM (SELECT *, sum(g) OVER (PARTITION BY y, x) AS t FROM s) GROUP BY 1, 2"
-)
+#: Cell numbers i, heights z and the eight neighbours' numbers of a grid g(y, x, v): one row per cell with data, n0..n7 NULL without data.
+def _neighbours(grid: str) -> str:
+    joins = " ".join(f"LEFT JOIN {grid} g{k} ON g{k}.y = g.y + {dy} AND g{k}.x = g.x + {dx} AND g{k}.v IS NOT NULL" for k, (dy, dx) in enumerate(flow.OFFSETS))
+    return f"SELECT g.y * 64 + g.x AS i, CAST(g.v AS DOUBLE) AS z, {', '.join(f'CAST(g{k}.v AS DOUBLE) AS n{k}' for k in range(8))} FROM {grid} g {joins} WHERE g.v IS NOT NULL"
+
+
+_DOWN = [f"coalesce(CASE WHEN z > n{k} THEN (z - n{k}) * (z - n{k}) / {1 if flow.STEP[k] == 1 else 2}.0::DOUBLE END, -1)" for k in range(8)]
+_SLOPE = [f"coalesce(CASE WHEN z > n{k} THEN (z - n{k}) / {flow.STEP[k]!r}::DOUBLE END, 0)" for k in range(8)]
+_GONE = [f"CASE WHEN n{k} IS NULL THEN 1 / {flow.STEP[k]!r}::DOUBLE ELSE 0 END" for k in range(8)]
+_STEEPEST = "CASE " + " ".join(f"WHEN {_DOWN[k]} > 0 AND {_DOWN[k]} = greatest({', '.join(_DOWN)}) THEN {k}" for k in range(8)) + " END"
+_OUTWARD = "CASE " + " ".join(f"WHEN n{k} IS NULL THEN {k}" for k in (0, 2, 4, 6, 7, 5, 3, 1)) + " END"
+
+
+def _sum(parts: list[str]) -> str:
+    """A sum in the order of directions, so that rounding is the same everywhere."""
+    return f"({' + '.join(parts)})" if len(parts) < 3 else f"({_sum(parts[:-1])} + {parts[-1]})"
+
+
+def _pack(parts: list[str]) -> str:
+    """Eight parts as weights of four bits in one signed 32-bit number."""
+    bits = " + ".join(f"CAST(floor(0.5 + {p} / {_sum(parts)} * 15) AS BIGINT) * {16**k}" for k, p in enumerate(parts))
+    return f"(SELECT CASE WHEN b >= 2147483648 THEN b - 4294967296 ELSE b END FROM (SELECT {bits} AS b))"
+
+
+_LINK = f"(SELECT unnest(range(8)) AS k, unnest({[float(x) for x in flow.STEP]}::DOUBLE[]) AS step, unnest({[dy * 64 + dx for dy, dx in flow.OFFSETS]}) AS o, unnest({[dx for _, dx in flow.OFFSETS]}) AS dx)"
+
+
+def _filled(grid: str) -> str:
+    """filled(i, w): levels at which cells drain to the edge of the data, from the grid's neighbours ``nb``."""
+    return f"""nb AS MATERIALIZED ({_neighbours(grid)}),
+ways AS MATERIALIZED (SELECT a.i, b.i AS j FROM nb a, {_LINK} l JOIN nb b ON b.i = a.i + l.o AND (a.i % 64) + l.dx BETWEEN 0 AND 63),
+fl(n, i, z, w, moved) AS (SELECT 0, i, z, CASE WHEN {' OR '.join(f'n{k} IS NULL' for k in range(8))} THEN z ELSE 'inf'::DOUBLE END, true FROM nb
+ UNION ALL SELECT n, i, z, w, w < old FROM (SELECT f.n + 1 AS n, f.i, f.z, f.w AS old, greatest(f.z, least(f.w, coalesce(m.w, 'inf'::DOUBLE))) AS w FROM fl f LEFT JOIN (SELECT ways.i, min(g.w) AS w FROM ways JOIN fl g ON g.i = ways.j GROUP BY ways.i) m ON m.i = f.i WHERE (SELECT bool_or(moved) FROM fl))),
+filled AS MATERIALIZED (SELECT i, w FROM fl WHERE n = (SELECT max(n) FROM fl))"""
+
+
+def _flats(name: str, cells: str, drains: str, flat: str) -> str:
+    """``name``(i, s): for the flat cells (condition ``flat``) the best way to a drain (condition) as {{dist, origin, k, a, b}}."""
+    best = "min({'dist': a + b * 1.4142135623730951::DOUBLE, 'origin': origin, 'k': k, 'a': a, 'b': b})"
+    return f"""{name}_w AS MATERIALIZED (SELECT p.i, q.i AS j, l.k, l.step = 1 AS straight FROM {cells} p, {_LINK} l JOIN {cells} q ON q.i = p.i + l.o AND (p.i % 64) + l.dx BETWEEN 0 AND 63 AND q.z = p.z WHERE {flat.replace('@', 'p.')} AND ({flat.replace('@', 'q.')} OR {drains.replace('@', 'q.')})),
+{name}_r(n, i, s, moved) AS (SELECT 0, i, CASE WHEN {drains.replace('@', '')} THEN {{'dist': 0::DOUBLE, 'origin': i, 'k': -1, 'a': 0, 'b': 0}} END, true FROM {cells} WHERE {flat.replace('@', '')} OR {drains.replace('@', '')}
+ UNION ALL SELECT n, i, s, s IS DISTINCT FROM old FROM (SELECT r.n + 1 AS n, r.i, r.s AS old, CASE WHEN r.s IS NULL OR m.s < r.s THEN coalesce(m.s, r.s) ELSE r.s END AS s FROM {name}_r r LEFT JOIN
+ (SELECT i, {best} AS s FROM (SELECT w.i, w.k, t.s.origin AS origin, t.s.a + CAST(straight AS INTEGER) AS a, t.s.b + CAST(NOT straight AS INTEGER) AS b FROM {name}_w w JOIN {name}_r t ON t.i = w.j WHERE t.s IS NOT NULL) GROUP BY i) m ON m.i = r.i AND (r.s IS NULL OR r.s.k >= 0) WHERE (SELECT bool_or(moved) FROM {name}_r))),
+{name} AS MATERIALIZED (SELECT i, s FROM {name}_r WHERE n = (SELECT max(n) FROM {name}_r) AND s IS NOT NULL)"""
+
+
+def _routed(grid: str) -> str:
+    """lo(i, z, n0.., d, out), f1 and f2: flats drained to lower cells, then off the data."""
+    return f"""lo AS MATERIALIZED (SELECT *, {_STEEPEST} AS d, {_OUTWARD} AS gone FROM ({_neighbours(grid)})),
+{_flats('f1', 'lo', '(@d IS NOT NULL)', '(@d IS NULL)')},
+left_ AS MATERIALIZED (SELECT * FROM lo WHERE d IS NULL AND i NOT IN (SELECT i FROM f1)),
+{_flats('f2', 'left_', '(@gone IS NOT NULL)', '(@gone IS NULL)')}"""
+
+
+def _d8(grid: str) -> str:
+    return f"{_routed(grid)}, dirs AS MATERIALIZED (SELECT lo.i, lo.z, coalesce(lo.d, CASE WHEN f1.s.k >= 0 THEN f1.s.k END, CASE WHEN f2.s.k >= 0 THEN f2.s.k ELSE lo.gone END) AS d FROM lo LEFT JOIN f1 ON f1.i = lo.i LEFT JOIN f2 ON f2.i = lo.i)"
+
+
+def _mfd(grid: str) -> str:
+    """mfd(i, v): packed directions; shares(i, j, k, p)."""
+    near = f"SELECT lo.i, l.k, 1 / l.step AS g FROM lo JOIN dist m ON m.i = lo.i, {_LINK} l JOIN lo q ON q.i = lo.i + l.o AND (lo.i % 64) + l.dx BETWEEN 0 AND 63 AND q.z = lo.z JOIN dist t ON t.i = q.i WHERE lo.d IS NULL AND t.dist < m.dist"
+    return f"""{_routed(grid)},
+dist AS MATERIALIZED (SELECT i, s.dist AS dist FROM f1 UNION ALL SELECT i, s.dist FROM f2),
+near AS ({near}), wide AS (SELECT i, {', '.join(f'coalesce(max(CASE WHEN k = {k} THEN g END), 0) AS w{k}' for k in range(8))} FROM near GROUP BY i),
+mfd AS MATERIALIZED (SELECT i, {_pack(_SLOPE)} AS v FROM lo WHERE d IS NOT NULL UNION ALL SELECT i, {_pack([f'w{k}' for k in range(8)])} FROM wide UNION ALL SELECT lo.i, {_pack(_GONE)} FROM lo JOIN f2 ON f2.i = lo.i AND f2.s.k < 0),
+fours AS MATERIALIZED (SELECT m.i, l.k, l.step, CASE WHEN (m.i % 64) + l.dx BETWEEN 0 AND 63 THEN m.i + l.o END AS j, (m.v >> (4 * l.k)) & 15 AS w FROM mfd m, {_LINK} l),
+shares AS MATERIALIZED (SELECT f.i, CASE WHEN t.i IS NOT NULL THEN f.j END AS j, f.k, f.step, f.w / CAST(sum(f.w) OVER (PARTITION BY f.i) AS DOUBLE) AS p, f.w FROM fours f LEFT JOIN mfd t ON t.i = f.j AND t.v <> 0 WHERE f.i IN (SELECT i FROM mfd WHERE v <> 0)),
+parts AS MATERIALIZED (SELECT * FROM shares WHERE w > 0)"""
+
+
+#: Flow through each cell, settled wave by wave from cells without inflow: acc(i, v).
+_ACC = """av(n, i, w) AS (SELECT 0, i, CAST(1 AS DOUBLE) FROM mfd WHERE v <> 0 UNION ALL SELECT n + 1, j, sum(p * w) FROM (SELECT a.n, s.j, s.p, a.w FROM av a JOIN parts s ON s.i = a.i WHERE s.j IS NOT NULL) GROUP BY n, j),
+acc AS MATERIALIZED (SELECT i, sum(w) AS v FROM av GROUP BY i)"""
+
+
+ORACLES["slope_pct"] = f"WITH {views.SQL.strip()}, nb AS ({_neighbours('qty')}) SELECT q.y, q.x, CASE WHEN q.v IS NOT NULL THEN round(100 * sqrt(pow({_SLOPES[0]}, 2) + pow({_SLOPES[1]}, 2)), 6) + 0.0 END AS v FROM qty q LEFT JOIN nb ON nb.i = q.y * 64 + q.x"
+
+
+def _with(*parts: str) -> str:
+    return f"WITH RECURSIVE {views.SQL.strip()}, " + ", ".join(parts)
+
+
+_ALL = "(SELECT y, x, y * 64 + x AS i FROM qty)"
+_QTY_FILLED = "qf AS MATERIALIZED (SELECT g.y, g.x, f.w AS v FROM qty g LEFT JOIN filled f ON f.i = g.y * 64 + g.x)"
+
+
+@query()
 def mfd_pack(spark: SparkSession, d: str) -> DataFrame:
-    q = views.qty(spark, d)
-    local = flow.d8_local(q).filter("d is not null")
-    slopes = [F.when(F.col("v") > F.col(f"n{k}"), (F.col("v") - F.col(f"n{k}")) / flow.STEP[k]).otherwise(0.0) for k in range(8)]
-    total = F.nullif(sum(slopes[1:], slopes[0]), F.lit(0.0))
-    packed = flow.pack([F.floor(0.5 + s / total * 15) for s in slopes])
-    return local.select("y", "x", packed.alias("v")).select("y", "x", F.when(F.col("v") < 0, F.col("v") + F.lit(1 << 32)).otherwise(F.col("v")).cast("long").alias("v"))
+    """Packed directions of all cells, flats and edges included."""
+    return whole(flow.flow_dir_mfd(views.qty(spark, d)))
+
+
+ORACLES["mfd_pack"] = _with(_mfd("qty")) + f" SELECT y, x, CAST(v AS BIGINT) AS v FROM {_ALL} LEFT JOIN mfd USING (i)"
 
 
 @query()
 def accum_mfd(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(flow.flow_accumulation_mfd(flow.flow_dir_mfd(views.qty(spark, d)))).filter("v is not null")
+    return rounded(flow.flow_accumulation_mfd(flow.flow_dir_mfd(views.qty(spark, d))), off=1e-9)
+
+
+ORACLES["accum_mfd"] = _with(_mfd("qty"), _ACC) + f" SELECT y, x, round(v + 1e-9, 6) AS v FROM {_ALL} LEFT JOIN acc USING (i)"
 
 
 @query()
 def dist_channel_mfd(spark: SparkSession, d: str) -> DataFrame:
     q = views.qty(spark, d)
     channel = q.with_px(q.px.select("y", "x", ((F.col("x") + F.col("y")) % 5 == 0).cast("int").alias("v")))
-    return rounded(flow.distance_to_channel_mfd(flow.flow_dir_mfd(q), channel)).filter("v is not null")
+    return rounded(flow.distance_to_channel_mfd(flow.flow_dir_mfd(q), channel), off=1e-9)
+
+
+#: Downstream cells first: a cell is settled in the round after the last of its ways that reach a channel.
+ORACLES["dist_channel_mfd"] = (
+    _with(
+        _mfd("qty"),
+        "chan AS MATERIALIZED (SELECT y * 64 + x AS i FROM qty WHERE (x + y) % 5 = 0)",
+        "go AS MATERIALIZED (SELECT * FROM parts WHERE j IS NOT NULL AND i NOT IN (SELECT i FROM chan))",
+        "rc(i) AS (SELECT i FROM chan UNION SELECT go.i FROM go JOIN rc ON rc.i = go.j)",
+        "useful AS MATERIALIZED (SELECT go.*, count(*) OVER (PARTITION BY go.i) AS need FROM go WHERE j IN (SELECT i FROM rc))",
+        "dn(n, i, v, moved) AS (SELECT 0, i, CASE WHEN i IN (SELECT i FROM chan) THEN CAST(0 AS DOUBLE) END, true FROM rc UNION ALL SELECT n, i, v, v IS DISTINCT FROM old FROM (SELECT d.n + 1 AS n, d.i, d.v AS old, CASE WHEN d.v IS NOT NULL THEN d.v WHEN m.have = m.need THEN m.v END AS v"
+        " FROM dn d LEFT JOIN (SELECT u.i, sum(u.p * (u.step + t.v)) / sum(u.p) AS v, count(t.v) AS have, max(u.need) AS need FROM useful u JOIN dn t ON t.i = u.j GROUP BY u.i) m ON m.i = d.i WHERE (SELECT bool_or(moved) FROM dn)))",
+        "dl AS (SELECT i, v FROM dn WHERE n = (SELECT max(n) FROM dn))",
+    )
+    + f" SELECT y, x, CASE WHEN i IN (SELECT i FROM chan) OR i IN (SELECT i FROM mfd WHERE v <> 0) THEN round(coalesce(dl.v, -1) + 1e-9, 6) END AS v FROM {_ALL} LEFT JOIN dl USING (i)"
+)
 
 
 @query()
 def outlets_mfd(spark: SparkSession, d: str) -> DataFrame:
-    return flow.detect_outlets(flow.flow_dir_mfd(views.qty(spark, d)), "mfd").select("y", "x")
+    return flow.detect_outlets(flow.flow_dir_mfd(views.qty(spark, d)), "mfd")
+
+
+ORACLES["outlets_mfd"] = _with(_mfd("qty")) + " SELECT row_number() OVER (ORDER BY i) - 1 AS id, i // 64 AS y, i % 64 AS x FROM (SELECT i FROM parts GROUP BY i HAVING count(j) = 0)"
 
 
 @query()
 def streams_mfd(spark: SparkSession, d: str) -> DataFrame:
     mfd = flow.flow_dir_mfd(flow.fill_pits(views.qty(spark, d)))
-    return whole(flow.extract_streams_mfd(flow.flow_accumulation_mfd(mfd), mfd, 8, 0.5)).filter("v is not null")
+    return whole(flow.extract_streams_mfd(flow.flow_accumulation_mfd(mfd), mfd, 8, 0.5))
+
+
+ORACLES["streams_mfd"] = (
+    _with(
+        _filled("qty"),
+        _QTY_FILLED,
+        _mfd("qf"),
+        _ACC,
+        "su(i) AS (SELECT a.i FROM acc a JOIN parts s ON s.i = a.i WHERE a.v >= 8 AND s.j IS NULL UNION SELECT s.i FROM parts s JOIN su ON su.i = s.j JOIN acc a ON a.i = s.i WHERE a.v >= 4)",
+        "sd(i) AS (SELECT su.i FROM su JOIN acc a ON a.i = su.i WHERE a.v >= 8 UNION SELECT s.j FROM sd JOIN parts s ON s.i = sd.i WHERE s.j IN (SELECT i FROM su))",
+    )
+    + f" SELECT y, x, CASE WHEN acc.v IS NOT NULL THEN CAST(i IN (SELECT i FROM sd) AS BIGINT) END AS v FROM {_ALL} LEFT JOIN acc USING (i)"
+)
 
 
 @query(
@@ -471,11 +613,34 @@ def fill_pits(spark: SparkSession, d: str) -> DataFrame:
     return whole(flow.fill_pits(views.qty(spark, d)))
 
 
+ORACLES["fill_pits"] = _with(_filled("qty")) + f" SELECT y, x, CAST(w AS BIGINT) AS v FROM {_ALL} LEFT JOIN filled USING (i)"
+
+
 @query()
 def flow_dir_d8(spark: SparkSession, d: str) -> DataFrame:
     return whole(flow.flow_dir_d8(flow.fill_pits(views.qty(spark, d))))
 
 
+ORACLES["flow_dir_d8"] = _with(_filled("qty"), _QTY_FILLED, _d8("qf")) + f" SELECT y, x, CAST(d AS BIGINT) AS v FROM {_ALL} LEFT JOIN dirs USING (i)"
+
+#: The D8 graph of the filled grid, its accumulation ac, stream cells st and segments sg(start, stop, ds) of them.
+_STREAMS = (
+    _with(
+        _filled("qty"),
+        _QTY_FILLED,
+        _d8("qf"),
+        f"nx AS MATERIALIZED (SELECT p.i, q.i AS j FROM dirs p JOIN {_LINK} l ON l.k = p.d LEFT JOIN dirs q ON q.i = p.i + l.o AND (p.i % 64) + l.dx BETWEEN 0 AND 63)",
+        "dw(i, t) AS (SELECT i, i FROM nx UNION ALL SELECT dw.i, nx.j FROM dw JOIN nx ON nx.i = dw.t WHERE nx.j IS NOT NULL)",
+        "ac AS MATERIALIZED (SELECT t AS i, count(*) AS v FROM dw GROUP BY t)",
+        "st AS MATERIALIZED (SELECT nx.i, CASE WHEN b.i IS NOT NULL THEN nx.j END AS j FROM nx JOIN ac a ON a.i = nx.i AND a.v >= 20 LEFT JOIN ac b ON b.i = nx.j AND b.v >= 20)",
+        "hd AS MATERIALIZED (SELECT st.i FROM st LEFT JOIN (SELECT j, count(*) AS n FROM st GROUP BY j) u ON u.j = st.i WHERE coalesce(u.n, 0) <> 1)",
+        "fo(start, i) AS (SELECT i, i FROM hd UNION ALL SELECT fo.start, st.j FROM fo JOIN st ON st.i = fo.i WHERE st.j IS NOT NULL AND st.j NOT IN (SELECT i FROM hd))",
+        "sg AS MATERIALIZED (SELECT fo.start, fo.i AS stop, st.j AS ds FROM fo JOIN st ON st.i = fo.i WHERE st.j IS NULL OR st.j IN (SELECT i FROM hd))",
+    )
+    + ", "
+)
+
+
 @query()
 def strahler_order(spark: SparkSession, d: str) -> DataFrame:
     q = flow.fill_pits(views.qty(spark, d))
@@ -483,12 +648,25 @@ def strahler_order(spark: SparkSession, d: str) -> DataFrame:
     return flow.extract_strahler_streams_d8(d8, flow.flow_accumulation_d8(d8), q, threshold=20).select("start", "ds", "order", "drop", "outlet")
 
 
+ORACLES["strahler_order"] = (
+    _STREAMS
+    + """od(n, s, o, moved) AS (SELECT 0, start, 1, true FROM sg UNION ALL SELECT n, s, o, o <> old FROM (SELECT t.n + 1 AS n, t.s, t.o AS old, coalesce(u.o, 1) AS o FROM od t LEFT JOIN
+ (SELECT ds, m + CAST(len(list_filter(l, lambda x: x = m)) > 1 AS INTEGER) AS o FROM (SELECT ds, l, list_max(l) AS m FROM (SELECT g.ds, list(e.o) AS l FROM sg g JOIN od e ON e.s = g.start WHERE g.ds IS NOT NULL GROUP BY g.ds))) u ON u.ds = t.s WHERE (SELECT bool_or(moved) FROM od))),
+oz AS (SELECT s, o FROM od WHERE n = (SELECT max(n) FROM od)),
+ou(start, s) AS (SELECT start, start FROM sg UNION ALL SELECT ou.start, g.ds FROM ou JOIN sg g ON g.start = ou.s WHERE g.ds IS NOT NULL)
+SELECT sg.start, sg.ds, oz.o AS "order", a.v - b.v AS drop, ou.s AS outlet FROM sg JOIN oz ON oz.s = sg.start JOIN ou ON ou.start = sg.start JOIN sg e ON e.start = ou.s AND e.ds IS NULL JOIN qf a ON a.y * 64 + a.x = sg.start JOIN qf b ON b.y * 64 + b.x = sg.stop"""
+)
+
+
 @query()
 def subwatersheds(spark: SparkSession, d: str) -> DataFrame:
     q = flow.fill_pits(views.qty(spark, d))
     d8 = flow.flow_dir_d8(q)
     on = flow.flow_accumulation_d8(d8).px.filter("v >= 20").select(flow.number(d8).alias("i"))
-    return flow.subwatersheds(d8, flow.stream_segments(d8, on)).groupBy("start").agg(F.count("*").alias("n"))
+    return flow.subwatersheds(d8, flow.stream_segments(d8, on))
+
+
+ORACLES["subwatersheds"] = _STREAMS + "sw(i, t) AS (SELECT i, i FROM nx UNION ALL SELECT sw.i, nx.j FROM sw JOIN nx ON nx.i = sw.t WHERE nx.j IS NOT NULL AND sw.t NOT IN (SELECT stop FROM sg)) SELECT sg.start, sw.i FROM sw JOIN sg ON sg.stop = sw.t"
 
 
 @query(f"SELECT fid, sum(v) AS v FROM (SELECT z.fid, (q.v % 10) % 5 AS v FROM zones z {IN_ZONE} WHERE q.v IS NOT NULL) GROUP BY fid")
