@@ -18,7 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridspark-')}"
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='gridspark-')}"
         sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
