@@ -2,7 +2,7 @@
 
 Layout of a store (a folder that driver and executors share)::
 
-    meta.json            {"dtype", "end_id", "buckets", "starts": ids before each shard}
+    meta.json            {"dtype", "end_id", "buckets", "starts": ids before each shard, "docs": documents in each shard}
     tokens-00000.bin     raw little-endian ids of the shard's documents, one after the other
     docs-00000.bin       int64 offsets into it, one more than the shard has documents
     index-00000.bin      minimal perfect hash of one bucket of document keys
@@ -11,15 +11,21 @@ Documents are in ascending order of their key over all shards.  A key is looked
 bucket, then by the levels of bits of the bucket's hash function: on each level a key goes to
 one position, and the first level on which its bit is set gives its slot, the number of set
 bits before it.  The slot holds a 32-bit fingerprint, the shard, the first row and the number
-of rows with that key.  A lookup thus reads a bounded number of bits and one slot whatever the
-size of the store; a key that was never stored fails the fingerprint (or every level).
+of rows with that key, which go on in the next shard where one ends.  A lookup thus reads a
+bounded number of bits and one slot whatever the size of the store; a key that was never stored
+fails the fingerprint (or every level).  ``read_back`` deals keys by bucket first, so that every
+bucket of the index is loaded once and not once for each batch of keys.
+
+Shards are ranges of keys: integer keys are cut at approximate quantiles, string keys at those of
+a sample of about ``SAMPLED`` keys per shard (cuts decide the layout only, not what is stored).  A
+key that holds more than a shard of rows is dealt in turn to all shards between its cuts.
 
 Files are written under a name of their own and then renamed, so that a repeated or
 speculative task leaves the same file.
 
 Nulls and edges: a null or empty text is the end id alone; a null key sorts first and is found
-as ``None``; equal keys are stored each, ordered by length and then by content, and a lookup
-gives all of them; an empty table gives a store without shards; extra columns are ignored.
+as ``None``; equal keys are stored each, in any order, and a lookup gives all of them; keys are
+whole numbers or strings; an empty table gives a store without shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +44,21 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridspark.llm import common as C
 from gridspark.llm.files import get, open_fs, put
 
-#: Pieces a worker's cache holds before it starts afresh (about 170 MB).
-PIECES = 700_000
+#: Pieces a worker's cache holds before it starts afresh (about 60 MB).
+PIECES = 250_000
 KEYS_PER_BUCKET = 100_000
+SAMPLED = 100
 LEVELS = 48
 #: How a byte-level tokenizer cuts a text and which characters stand for its bytes.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _plain)}
-INDEX_ROW = np.dtype([("print", "<u4"), ("shard", "<u4"), ("row", "<u4"), ("rows", "<u4")])
+INDEX_ROW = np.dtype([("print", "<u4"), ("shard", "<u4"), ("row", "<u8"), ("rows", "<u8")])
 
 
 # ---------------------------------------------------------------- text to ids
@@ -208,20 +216,18 @@ def write_store(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, key:
     C.arrow_batches(spark)
     fs, path = open_fs(uri)
     fs.create_dir(path, recursive=True)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key]
     shards = max(1, docs.select(key, "text").rdd.getNumPartitions())
-    # shard borders from the key column alone: one number a shard
-    probs = [i / shards for i in range(1, shards)]
-    found = docs.agg(F.count("*").alias("n"), (F.percentile_approx(key, probs, max(10_000, 20 * shards)) if probs else F.lit(None)).alias("cuts")).first()
-    cuts, buckets = np.array(found.cuts or [], np.int64), max(1, -(-found.n // KEYS_PER_BUCKET))
+    n, cuts = _cuts(docs.select(F.col(f"`{key}`").alias("k")), shards)
+    buckets = max(1, -(-n // KEYS_PER_BUCKET))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end, dealt = np.array([end_id], enc.dtype).tobytes(), 0
         for batch in batches:
             keys = batch.column(0)
-            shard = np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            shard[keys.is_null().to_numpy(zero_copy_only=False)] = 0
+            shard = _shard_of(keys, cuts, dealt)
+            dealt += len(batch)
             ids = [x + end for x in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
             n = [len(x) // enc.dtype.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -253,7 +259,8 @@ def write_store(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, key:
             fs.move(own, path)
             put(f"{uri}/docs-{shard:05d}.bin", np.array(offsets, "<i8").tobytes())
 
-    ids = docs.select(key, "text").mapInArrow(encode, f"k {kind}, shard int, n long, crc long, ids binary")
+    schema = StructType([StructField("k", kind.dataType)]).add("shard", "integer").add("n", "long").add("crc", "long").add("ids", "binary")
+    ids = docs.select(key, "text").mapInArrow(encode, schema)
     ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("k").asc_nulls_first(), "n", "crc")
     rows = C.written(spark, ordered.mapInArrow(write, "h long, bucket int, shard int, row long, n long"), "rows")
 
@@ -284,16 +291,41 @@ def write_store(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, key:
             done += flush()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
-    keys = rows.groupBy("bucket", "h").agg(F.min("shard").alias("shard"), F.min("row").alias("row"), F.count("*").alias("rows"))
+    keys = rows.groupBy("bucket", "h").agg(F.min(F.struct("shard", "row")).alias("first"), F.count("*").alias("rows")).select("bucket", "h", "first.shard", "first.row", "rows")
     keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(index, "n long").agg(F.sum("n")).collect()
-    totals = {r.shard: r.n for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-    starts = np.concatenate(([0], np.cumsum([totals.get(i, 0) for i in range(shards)]))).tolist()
+    totals = {r.shard: (r.n, r.m) for r in rows.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()}  # one row a shard
+    starts = np.concatenate(([0], np.cumsum([totals.get(i, (0, 0))[0] for i in range(shards)]))).tolist()
     C.drop_table(spark, rows)
-    meta = {"dtype": encoder(tokenizer).dtype.str, "end_id": end_id, "buckets": buckets, "starts": [int(x) for x in starts]}
+    meta = {"dtype": encoder(tokenizer).dtype.str, "end_id": end_id, "buckets": buckets, "starts": [int(x) for x in starts], "docs": [totals.get(i, (0, 0))[1] for i in range(shards)]}
     put(f"{uri}/meta.json", json.dumps(meta).encode())
     return meta
 
 
+def _cuts(keys: DataFrame, shards: int) -> tuple[int, np.ndarray]:
+    """Number of rows, and the keys at which shards begin."""
+    probs = [i / shards for i in range(1, shards)]
+    if isinstance(keys.schema["k"].dataType, StringType):
+        n = keys.count()
+        share = min(1.0, SAMPLED * shards / max(1, n))
+        some = sorted(r.k for r in keys.filter("k is not null").sample(share, seed=1).collect())
+        return n, np.array([some[int(q * len(some))] for q in probs] if some else [], object)
+    found = keys.agg(F.count("*").alias("n"), (F.percentile_approx("k", probs, max(10_000, 20 * shards)) if probs else F.lit(None)).alias("cuts")).first()
+    return found.n, np.array(found.cuts or [], np.int64)
+
+
+def _shard_of(keys: pa.Array, cuts: np.ndarray, dealt: int) -> np.ndarray:
+    """The shard of each key; keys that are cuts more than once are dealt in turn to all shards that they fill."""
+    if pa.types.is_integer(keys.type):
+        values = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    else:
+        values = np.array([k or "" for k in keys.to_pylist()], object)
+    low, high = (np.searchsorted(cuts, values, side=side) for side in ("left", "right"))
+    # a key at one cut begins the shard after it
+    low = np.where(high - low > 1, low + 1, high)
+    shard = low + (dealt + np.arange(len(values))) % (high - low + 1)
+    return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, shard)
+
+
 # ---------------------------------------------------------------- read
 class Store:
     """Keyed access to a store from one process."""
@@ -330,37 +362,53 @@ class Store:
         got = self.find(key_hashes(pa.array([key], pa.int64() if key is None or isinstance(key, int) else pa.string())))[0]
         if not got["found"]:
             return []
-        dtype = np.dtype(self.meta["dtype"])
-        fs, path = open_fs(f"{self.uri}/docs-{got['shard']:05d}.bin")
-        with fs.open_input_file(path) as f:
-            f.seek(8 * int(got["row"]))
-            offsets = np.frombuffer(f.read(8 * (int(got["rows"]) + 1)), "<i8")
-        fs, path = open_fs(f"{self.uri}/tokens-{got['shard']:05d}.bin")
-        with fs.open_input_file(path) as f:
-            f.seek(int(offsets[0]) * dtype.itemsize)
-            ids = np.frombuffer(f.read(int(offsets[-1] - offsets[0]) * dtype.itemsize), dtype)
-        return [ids[a - offsets[0] : b - offsets[0]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
+        dtype, out = np.dtype(self.meta["dtype"]), []
+        for shard, row, rows in self.pieces(*(int(got[x]) for x in ("shard", "row", "rows"))):
+            fs, path = open_fs(f"{self.uri}/docs-{shard:05d}.bin")
+            with fs.open_input_file(path) as f:
+                f.seek(8 * row)
+                offsets = np.frombuffer(f.read(8 * (rows + 1)), "<i8")
+            fs, path = open_fs(f"{self.uri}/tokens-{shard:05d}.bin")
+            with fs.open_input_file(path) as f:
+                f.seek(int(offsets[0]) * dtype.itemsize)
+                ids = np.frombuffer(f.read(int(offsets[-1] - offsets[0]) * dtype.itemsize), dtype)
+            out += [ids[a - offsets[0] : b - offsets[0]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return out
 
-_stores: dict[str, Store] = {}
+    def pieces(self, shard: int, row: int, rows: int) -> Iterator[tuple[int, int, int]]:
+        """(shard, first row, rows) of a run of rows that may go on over several shards."""
+        while rows:
+            n = min(rows, self.meta["docs"][shard] - row)
+            if n:
+                yield shard, row, n
+            shard, row, rows = shard + 1, 0, rows - n
 
 
 def read_back(spark: SparkSession, uri: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every stored document with a key of ``keys``, from the files."""
-    kind = keys.schema[key].dataType.simpleString()
+    meta = json.loads(get(f"{uri}/meta.json"))
+    kind = StructField("k", keys.schema[key].dataType)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = key_hashes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes.view(np.int64)), pa.array(bucket_of(hashes, meta["buckets"]), pa.int32())], ["k", "h", "bucket"])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if uri not in _stores:
-            _stores.clear()
-            _stores[uri] = Store(uri)
+        """Keys come bucket by bucket and sorted by hash; copies of a key are passed over."""
+        store, last = Store(uri), None
         for batch in batches:
-            got = _stores[uri].find(key_hashes(batch.column(0)))
-            hit = pa.array(got["found"])
-            cols = [pa.array(got[x][got["found"]], t) for x, t in (("shard", pa.int32()), ("row", pa.int64()), ("rows", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), *cols], [key, "shard", "row", "rows"])
+            hashes = batch.column(1).to_numpy()
+            fresh = np.concatenate(([last is None or hashes[0] != last], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+            last = hashes[-1] if len(hashes) else last
+            batch = batch.filter(pa.array(fresh))
+            got = store.find(batch.column(1).to_numpy().view(np.uint64))
+            hit = np.flatnonzero(got["found"])
+            runs = [(i, *piece) for i in hit.tolist() for piece in store.pieces(*(int(got[x][i]) for x in ("shard", "row", "rows")))]
+            cols = list(zip(*runs, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["k", "shard", "row", "rows"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meta = json.loads(get(f"{uri}/meta.json"))
         dtype, shard, ids, offsets = np.dtype(meta["dtype"]), None, None, np.zeros(1, np.int64)
         for batch in batches:
             names, out = batch.column(0).to_pylist(), []
@@ -375,10 +423,12 @@ def read_back(spark: SparkSession, uri: str, keys: DataFrame, key: str = "doc_id
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], [key, "start", "n_tokens", "ids_crc32"])
 
-    found = keys.select(key).distinct().mapInArrow(locate, f"{key} {kind}, shard int, row long, rows long")
-    meta = json.loads(get(f"{uri}/meta.json"))
+    dealt = keys.select(F.col(f"`{key}`").alias("k")).mapInArrow(bucketed, StructType([kind]).add("h", "long").add("bucket", "integer"))
+    dealt = dealt.repartition(max(1, min(meta["buckets"], 4 * C.partitions(spark))), "bucket").sortWithinPartitions("bucket", "h")
+    found = dealt.mapInArrow(locate, StructType([kind]).add("shard", "integer").add("row", "long").add("rows", "long"))
     placed = found.repartitionById(max(1, len(meta["starts"]) - 1), F.col("shard")).sortWithinPartitions("shard", "row")
-    return placed.mapInArrow(fetch, f"{key} {kind}, start long, n_tokens long, ids_crc32 long")
+    out = StructType([StructField(key, kind.dataType)]).add("start", "long").add("n_tokens", "long").add("ids_crc32", "long")
+    return placed.mapInArrow(fetch, out)
 
 
 def token_report(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
