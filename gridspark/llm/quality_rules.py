@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from gridspark.llm import common as C
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_digits long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_digits long, n_distinct long"
 #: Significant bits of a sketch's keys, width of the fence in quartile ranges, documents that the wider group counts for.
 DIGITS, SPREAD, PRIOR = 10, 12, 100
 #: Rule, and the ratio (in millionths) of which there may be too much.
@@ -122,6 +122,18 @@ def _repeat_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return counts
 
 
+def _distinct_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Different words of each text, told apart by 40 bits of their hashes."""
+    n = len(starts) - 1
+    counts = np.zeros(n, np.int64)
+    for a in range(0, n, 1 << 24):
+        b = min(n, a + (1 << 24))
+        doc = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1])).astype(np.uint64)
+        seen = C.distinct(doc << np.uint64(40) | flat[starts[a] : starts[b]] >> np.uint64(24))
+        counts[a:b] = np.bincount((seen >> np.uint64(40)).astype(np.int64), minlength=b - a)
+    return counts
+
+
 def text_stats(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The columns of ``STATS`` for the whole texts of a batch, a few megabytes of text at a time."""
     parts = [_stats(piece.column("text")) for piece in C.in_pieces(batch)]
@@ -149,6 +161,7 @@ def _stats(column: pa.Array) -> list[np.ndarray]:
         _per_text(kinds & LETTER, cuts),
         _per_text(kinds & MARK, cuts),
         _per_text(kinds & DIGIT, cuts),
+        _distinct_words(flat, starts),
     ]
 
 

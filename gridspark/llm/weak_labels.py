@@ -1,12 +1,15 @@
 """Quality classifier from weak labels (operator 10).
 
 Heuristic labellers vote *poor*, *fine* or abstain on each document; they overlap and err.
-Documents are counted by vote pattern (at most 3**labellers of them), and expectation
-maximisation over the patterns estimates each labeller's vote probabilities given the true
-class, and the share of poor documents.  The posterior of a pattern is the soft label of its
-documents, and a hashed linear scorer is trained on them: word shapes and binned statistics
-hashed to ``2**BITS`` weights, logistic loss.  It generalises the labellers to documents on
-which they abstain or split.
+Documents are counted by vote pattern, and expectation maximisation over the patterns estimates
+each labeller's vote probabilities given the true class.  Poor documents are poor in different
+ways and labellers that look for the same fault agree, so votes are not independent given just
+*poor* and *fine*: the true class is *fine* or one of several faults (a fault per labeller to
+begin with), and votes are independent given that.  A labeller whose alarms its fellows don't
+share is thus found to be unreliable, and its lone votes count for little.  The posterior of a
+pattern (1 - probability of *fine* is *poor*) is the soft label of its documents, and a hashed
+linear scorer is trained on them: word shapes and binned statistics hashed to ``2**BITS``
+weights, logistic loss.  It generalises the labellers to documents on which they abstain or split.
 
 Vote patterns are counted over all documents.  The scorer is fitted on at most ``FIT_ROWS``
 of them, those of least seeded hash (the bound is a parameter); every document is scored.
@@ -25,35 +28,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridspark.llm import common as C
 from gridspark.llm.quality_rules import STATS, text_stats
 
 BITS, FIT_ROWS, SEED = 16, 20_000, 11
-FALSE_ALARM = 0.0005
-#: Labeller, counted statistic, base statistic, poor beyond, fine below (None: length rule).
+#: Labeller, statistic, its base, poor beyond, fine below.
 LABELLERS = (
     ("symbols", "n_symbols", "n_words", 0.15, 0.03),
+    ("odd", "n_odd", "word_chars", 0.12, 0.06),
     ("capitals", "n_upper", "n_letters", 0.45, 0.25),
     ("marks", "n_marks", "n_words", 0.25, 0.10),
     ("repeats", "n_repeat_words", "n_words", 0.45, 0.25),
+    ("same_words", "n_same", "n_words", 0.75, 0.65),
     ("lines", "n_dup_lines", "n_lines", 0.85, 0.50),
     ("long_words", "word_chars", "n_words", 14.0, 9.0),
 )
-#: A text of fewer words is poor, of so many or more is fine.
-SHORT, ENOUGH = 1, 50
+#: A text of fewer words is poor, of so many or more is fine; ratios of shorter texts than ``JUDGED`` words say nothing.
+SHORT, ENOUGH, JUDGED = 1, 50, 10
 ABSTAIN, POOR, FINE = 0, 1, 2
 SHAPE = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
+def _ratio(stats: dict[str, np.ndarray], num: str, den: str) -> np.ndarray:
+    if num == "n_odd":
+        over = stats["word_chars"] - stats["n_letters"] - stats["n_digits"]
+    elif num == "n_same":
+        over = stats["n_words"] - stats["n_distinct"]
+    else:
+        over = stats[num]
+    return over / np.maximum(stats[den], 1)
+
+
 def votes(stats: dict[str, np.ndarray]) -> np.ndarray:
     """One row per labeller, the length rule last."""
-    out = []
+    out, n = [], stats["n_words"]
     for _, num, den, poor, fine in LABELLERS:
-        ratio = stats[num] / np.maximum(stats[den], 1)
-        out.append(np.where(ratio > poor, POOR, np.where(ratio < fine, FINE, ABSTAIN)))
-    n = stats["n_words"]
+        ratio = _ratio(stats, num, den)
+        out.append(np.where(n < JUDGED, ABSTAIN, np.where(ratio > poor, POOR, np.where(ratio < fine, FINE, ABSTAIN))))
     out.append(np.where(n < SHORT, POOR, np.where(n >= ENOUGH, FINE, ABSTAIN)))
     return np.array(out, np.int64)
 
@@ -62,37 +76,48 @@ def pattern(vote: np.ndarray) -> np.ndarray:
     return (vote * 3 ** np.arange(len(vote))[:, None]).sum(axis=0)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS) + 1, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of *poor* per pattern, vote probabilities [labeller, class, vote] and the share of poor documents.
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS) + 1, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior [pattern, class], vote probabilities [labeller, class, vote] and class shares; the last class is *fine*.
 
-    A labeller's probabilities carry a small prior by which votes are right more often than not,
-    which keeps the two classes from changing names.  Its rate of *poor* votes on fine documents
-    is at most ``FALSE_ALARM``: the labellers look for unlike faults, so that a poor document has
-    a *fine* vote from most of them, and without the bound two labellers that agree on one kind
-    of fault would take the whole class for themselves.
+    A document has a fault only if the fault's labeller says so, and no labeller calls a fault fine
+    more often than a fine document.  At first a document is of the faults that its labellers name,
+    in doubt rather fine if only one does: a lone alarm that all others deny says nothing about
+    itself and stays in doubt.
     """
     vote = patterns[:, None] // 3 ** np.arange(labellers) % 3
-    prior = np.array([[1.0, 2.0, 1.0], [2.0, 0.02, 6.0]]) * max(1.0, 1e-3 * counts.sum())
-    post = np.where((vote == POOR).any(axis=1), 0.95, 0.02)
-    theta, share = np.zeros((labellers, 2, 3)), 0.5
+    poor = (vote == POOR).astype(float)
+    named, may = poor.sum(axis=1, keepdims=True), np.concatenate((poor > 0, np.ones((len(poor), 1), bool)), axis=1)
+    blame = np.where(named > 1, 0.9, np.where(named == 1, 0.4, 0.0))
+    post = np.concatenate((poor / np.maximum(named, 1) * blame, 1 - blame), axis=1)
+    theta, shares = np.zeros((labellers, labellers + 1, 3)), np.zeros(labellers + 1)
     for _ in range(rounds):
-        share = float((post * counts).sum() + 1) / float(counts.sum() + 2)
+        weight = post * counts[:, None]
+        shares = (weight.sum(axis=0) + 0.1) / (counts.sum() + 0.1 * (labellers + 1))
         for j in range(labellers):
-            for c, weight in ((0, post), (1, 1 - post)):
-                theta[j, c] = np.bincount(vote[:, j], weight * counts, minlength=3) + prior[c]
+            for v in range(3):
+                theta[j, :, v] = weight[vote[:, j] == v].sum(axis=0) + 0.1
         theta /= theta.sum(axis=2, keepdims=True)
-        alarm = np.minimum(theta[:, 1, POOR], FALSE_ALARM)
-        rest = theta[:, 1, ABSTAIN] + theta[:, 1, FINE]
-        for v in (ABSTAIN, FINE):
-            theta[:, 1, v] *= (1 - alarm) / rest
-        theta[:, 1, POOR] = alarm
-        log = np.log(np.array([share, 1 - share]))[:, None] + sum(np.log(theta[j][:, vote[:, j]]) for j in range(labellers))
-        new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
+        most = np.minimum(theta[:, :, FINE], theta[:, -1:, FINE])
+        theta[:, :, :FINE] *= ((1 - most) / (1 - theta[:, :, FINE]))[:, :, None]
+        theta[:, :, FINE] = most
+        log = np.log(shares) + sum(np.log(theta[j][:, vote[:, j]]).T for j in range(labellers))
+        log = np.where(may, log, -np.inf)
+        new = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
+        new /= new.sum(axis=1, keepdims=True)
         done = np.abs(new - post).max() < 1e-9 if len(post) else True
         post = new
         if done:
             break
-    return post, theta, share
+    return post, theta, shares
+
+
+def accuracies(patterns: np.ndarray, counts: np.ndarray, poor: np.ndarray, labellers: int = len(LABELLERS) + 1) -> np.ndarray:
+    """Of each labeller's votes the share that is right, by the probability of *poor* of every pattern; NaN without a vote."""
+    vote = patterns[:, None] // 3 ** np.arange(labellers) % 3
+    right = ((vote == POOR) * poor[:, None] + (vote == FINE) * (1 - poor[:, None])) * counts[:, None]
+    cast = (vote != ABSTAIN) * counts[:, None]
+    with np.errstate(invalid="ignore"):
+        return right.sum(axis=0) / cast.sum(axis=0)
 
 
 def features(column: pa.Array, stats: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -111,7 +136,7 @@ def features(column: pa.Array, stats: dict[str, np.ndarray]) -> list[tuple[np.nd
     doc = np.repeat(np.arange(n), np.diff(starts)).astype(np.uint64)
     seen, counts = C.distinct_counts(doc << np.uint64(BITS) | C.span_hashes(shaped, first, end, False) >> np.uint64(64 - BITS))
     owner = (seen >> np.uint64(BITS)).astype(np.int64)
-    ratios = [np.minimum(15, (16 * np.sqrt(stats[num] / np.maximum(stats[den], 1) / (2 * poor)))).astype(np.uint64) for _, num, den, poor, _ in LABELLERS]
+    ratios = [np.minimum(15, (16 * np.sqrt(_ratio(stats, num, den) / (2 * poor)))).astype(np.uint64) for _, num, den, poor, _ in LABELLERS]
     ratios.append(np.minimum(15, np.log2(1 + stats["n_words"])).astype(np.uint64))
     bins = np.array([C.mix(r + np.uint64(16 * k + 1)) >> np.uint64(64 - BITS) for k, r in enumerate(ratios)]).T.reshape(n, len(ratios))
     values, at = np.sqrt(counts / np.maximum(np.diff(starts), 1)[owner]), (seen & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -164,23 +189,23 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 ["h", "pattern", "at", "value"],
             )
 
-    rows = docs.select(F.xxhash64("text", F.lit(SEED)).alias("h"), "text").mapInArrow(measure, "h long, pattern long, at array<long>, value array<double>")
+    rows = docs.select(F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"), "text").mapInArrow(measure, "h long, pattern long, at array<long>, value array<double>")
     rows = C.written(spark, rows, "votes")
     seen = rows.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r.pattern for r in seen], np.int64), np.array([r.n for r in seen], np.float64)
-    post, theta, share = expectation_maximisation(patterns, counts)
-    table = dict(zip(patterns.tolist(), post.tolist(), strict=True))
+    post, theta, shares = expectation_maximisation(patterns, counts)
+    poor = 1 - post[:, -1]
+    table = dict(zip(patterns.tolist(), poor.tolist(), strict=True))
     sample = rows.filter("at is not null").orderBy("h", "pattern").limit(fit_rows).select("pattern", "at", "value").collect()
     weights, bias = fit([(np.array(r["at"], np.int64), np.array(r["value"])) for r in sample], np.array([table[r.pattern] for r in sample]))
     C.drop_table(spark, rows)
-    return {"post": table, "theta": theta, "share": share, "weights": weights.astype(np.float32), "bias": bias}
+    return {"post": table, "theta": theta, "share": float(1 - shares[-1]), "accuracies": accuracies(patterns, counts, poor), "weights": weights.astype(np.float32), "bias": bias}
 
 
 def quality_scores(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, posterior, score, kept): probability of *fine* by the labellers and by the scorer."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -191,4 +216,5 @@ def quality_scores(docs: DataFrame, model: dict | None = None) -> DataFrame:
             fine = 1 / (1 + np.exp(np.clip(raw, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post), pa.array(fine), pa.array(fine >= 0.5)], ["doc_id", "posterior", "score", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, posterior double, score double, kept boolean")
+    schema = StructType([docs.schema["doc_id"]]).add("posterior", "double").add("score", "double").add("kept", "boolean")
+    return docs.select("doc_id", "text").mapInArrow(score, schema)
