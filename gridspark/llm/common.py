@@ -331,9 +331,8 @@ def by_bucket(keys: np.ndarray, buckets: np.ndarray, n: int) -> Iterator[tuple[i
     """Bucket number and positions of its keys, in key order within the bucket."""
     order = np.lexsort((keys, buckets))
     cuts = np.searchsorted(buckets[order], np.arange(n + 1))
-    for b in range(n):
-        if cuts[b + 1] > cuts[b]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
 
 
 # ---------------------------------------------------------------- connected components

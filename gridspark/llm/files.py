@@ -72,9 +72,9 @@ def member(uri: str, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
     distinct, inverse = C.distinct_places(keys)
     out = np.zeros(len(distinct), bool)
     cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    for b in range(1 << bits):
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
         part = distinct[cuts[b] : cuts[b + 1]]
-        if len(part) and len(known := arrays(uri)(f"{name}-{b:05d}.u8", "<u8")):
+        if len(known := arrays(uri)(f"{name}-{b:05d}.u8", "<u8")):
             out[cuts[b] : cuts[b + 1]] = known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part
     return out[inverse]
 
@@ -84,9 +84,9 @@ def counts_of(uri: str, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
     distinct, inverse = C.distinct_places(keys)
     out = np.zeros(len(distinct), np.uint8)
     cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    for b in range(1 << bits):
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
         part = distinct[cuts[b] : cuts[b + 1]]
-        if len(part) and len(known := arrays(uri)(f"{name}-{b:05d}.u8", "<u8")):
+        if len(known := arrays(uri)(f"{name}-{b:05d}.u8", "<u8")):
             at = np.minimum(np.searchsorted(known, part), len(known) - 1)
             hit = known[at] == part
             out[cuts[b] : cuts[b + 1]][hit] = arrays(uri)(f"{name}-{b:05d}.n1", np.uint8)[at[hit]]

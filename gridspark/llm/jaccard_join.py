@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, VariantType
+from pyspark.sql.types import AtomicType, IntegerType, StructField, StructType, VariantType
 from pyspark.sql.window import Window
 
 from gridspark.llm import common as C
@@ -83,7 +83,7 @@ def apart(a: bytes, b: bytes) -> int:
 
 def _marks(docs: DataFrame, bits: int) -> DataFrame:
     """kind 0: (doc_id, row_key, n, node) of each document; kind 1: blobs of shingles and their counts by bucket."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = StructType([StructField("kind", IntegerType()), docs.schema["doc_id"]]).add("row_key", "long").add("n", "long").add("node", "long").add("bucket", "integer").add("blob", "binary")
     names = ["kind", "doc_id", "row_key", "n", "node", "bucket", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _marks(docs: DataFrame, bits: int) -> DataFrame:
         if held:
             yield flush(batch.column(0).type)
 
-    return docs.select("doc_id", C.row_key().alias("row_key"), "text").mapInArrow(run, f"kind int, doc_id {kind}, row_key long, n long, node long, bucket int, blob binary")
+    return docs.select("doc_id", C.row_key().alias("row_key"), "text").mapInArrow(run, schema)
 
 
 def _count_shingles(marks: DataFrame, uri: str) -> None:

@@ -5,9 +5,9 @@ numpy and sends each bucket the sorted keys with their counts as one compressed
 what is shuffled is a few bytes per distinct n-gram and not a row per token.  A bucket's task
 merges its blobs and writes sorted arrays to the shared folder:
 
-* ``words-*.u8 / .u4``    hashes of the vocabulary in ascending order, and their counts;
+* ``words-*.u8 / .n8``    hashes of the vocabulary in ascending order, and their counts;
   a word's id is its rank over all buckets;
-* ``pairs-*.u8 / .u4``    ids of neighbouring words packed into one key, and their counts;
+* ``pairs-*.u8 / .n8``    ids of neighbouring words packed into one key, and their counts;
 * ``total-* / few-* / kinds-*`` per word as context: its count and how many followers it has
   once, twice and more often; per word: in how many contexts it occurs.
 
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridspark.llm import common as C
 from gridspark.llm.files import arrays, open_fs, put
@@ -62,9 +63,9 @@ def word_ids(uri: str, hashes: np.ndarray, offsets: np.ndarray, shift: int) -> n
     """Id of each (sorted, distinct) hash; ``offsets[-1] + 1`` for words that weren't learnt."""
     out = np.full(len(hashes), int(offsets[-1]) + 1, np.uint64)
     cuts = np.searchsorted(hashes >> np.uint64(shift), np.arange(len(offsets), dtype=np.uint64))
-    for b in range(len(offsets) - 1):
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
         part = hashes[cuts[b] : cuts[b + 1]]
-        known = arrays(uri)(f"words-{b:05d}.u8", "<u8") if len(part) else part
+        known = arrays(uri)(f"words-{b:05d}.u8", "<u8")
         if len(known):
             at = np.minimum(np.searchsorted(known, part), len(known) - 1)
             hit = known[at] == part
@@ -143,7 +144,7 @@ def train(docs: DataFrame, uri: str) -> dict:
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = merged(table["blob"].to_pylist())
         put(f"{uri}/words-{key[0].as_py():05d}.u8", keys.astype("<u8").tobytes())
-        put(f"{uri}/words-{key[0].as_py():05d}.u4", np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes())
+        put(f"{uri}/words-{key[0].as_py():05d}.n8", counts.astype("<i8").tobytes())
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
 
     blobs = "bucket int, blob binary"
@@ -168,7 +169,7 @@ def train(docs: DataFrame, uri: str) -> dict:
         """Writes the pairs and gives partial sums per word: kind 0 as context, 1 as follower, 2 counts of counts."""
         keys, counts = merged(table["blob"].to_pylist())
         put(f"{uri}/pairs-{key[0].as_py():05d}.u8", keys.astype("<u8").tobytes())
-        put(f"{uri}/pairs-{key[0].as_py():05d}.u4", np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes())
+        put(f"{uri}/pairs-{key[0].as_py():05d}.n8", counts.astype("<i8").tobytes())
         h, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         as_context = C.sum_by_key(h, counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
         as_follower = C.sum_by_key(w, np.ones(len(w), np.int64))
@@ -211,11 +212,10 @@ def _gather(model: dict, name: str, dtype: str, ids: np.ndarray, width: int = 1)
     out = np.zeros((len(ids), width), np.float64)
     offsets = np.append(model["offsets"], model["v"] + 1)
     cuts = np.searchsorted(ids.astype(np.int64), offsets)
-    for b in range(len(offsets) - 1):
-        if cuts[b + 1] > cuts[b]:
-            found = arrays(model["uri"])(f"{name}-{b:05d}", dtype)
-            if len(found):
-                out[cuts[b] : cuts[b + 1]] = found.reshape(-1, width)[ids[cuts[b] : cuts[b + 1]].astype(np.int64) - offsets[b]]
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        found = arrays(model["uri"])(f"{name}-{b:05d}", dtype)
+        if len(found):
+            out[cuts[b] : cuts[b + 1]] = found.reshape(-1, width)[ids[cuts[b] : cuts[b + 1]].astype(np.int64) - offsets[b]]
     return out if width > 1 else out[:, 0]
 
 
@@ -232,10 +232,10 @@ def log_probs(model: dict, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, n
     distinct, inverse = C.distinct_places(ids)
     inside = distinct[distinct < v]
     counts = np.zeros(len(distinct))
-    for b in range(len(model["offsets"]) - 1):
-        a, z = np.searchsorted(inside.astype(np.int64), model["offsets"][b : b + 2])
-        if z > a:
-            counts[a:z] = arrays(model["uri"])(f"words-{b:05d}.u4", "<u4")[inside[a:z].astype(np.int64) - model["offsets"][b]]
+    cuts = np.searchsorted(inside.astype(np.int64), model["offsets"])
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        a, z = cuts[b], cuts[b + 1]
+        counts[a:z] = arrays(model["uri"])(f"words-{b:05d}.n8", "<i8")[inside[a:z].astype(np.int64) - model["offsets"][b]]
     base = np.log10((counts + 1) / (n + v + 1))[inverse]
     # words by their contexts
     types, (m1, m2, m3) = model["types"], model["many"]
@@ -252,7 +252,7 @@ def log_probs(model: dict, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, n
         if len(stored):
             where = np.minimum(np.searchsorted(stored, pair[at]), len(stored) - 1)
             hit = stored[where] == pair[at]
-            seen[at[hit]] = arrays(model["uri"])(f"pairs-{b:05d}.u4", "<u4")[where[hit]]
+            seen[at[hit]] = arrays(model["uri"])(f"pairs-{b:05d}.n8", "<i8")[where[hit]]
     context, which = C.distinct_places(pair >> np.uint64(32))
     usable = context <= v
     total, gamma = np.zeros(len(context)), np.ones(len(context))
@@ -269,7 +269,7 @@ def log_probs(model: dict, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, n
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     C.arrow_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             cols = [np.diff(starts), sums[0], np.full(len(batch), model["n"]), sums[1], sums[2]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def lm_report(docs: DataFrame) -> DataFrame:

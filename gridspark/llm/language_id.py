@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridspark.llm import common as C
 
@@ -170,7 +171,7 @@ def predict(docs: DataFrame, names: list[str], proto: np.ndarray, dims: int = DI
     """doc_id, lang_pred and score (cosine, 0 to 1) of every row of ``docs``."""
     C.arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(proto)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = StructType([docs.schema["doc_id"]]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = shared.value
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, names: list[str], proto: np.ndarray, dims: int = DI
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def held_out(mod: int, remainder: int, doc_id: str = "doc_id") -> Column:

@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gridspark.llm import common as C
@@ -96,7 +97,7 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
     C.arrow_batches(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = StructType([*(docs.schema[k] for k in keep), StructField("size", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +105,13 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
             sizes = pa.array(np.diff(np.searchsorted(C.word_spans(raw, cuts)[0], cuts)), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), sizes], [*keep, "size"])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", size long")
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row per row of ``docs``."""
     spark = docs.sparkSession
-    sized = C.written(spark, _sized(docs, ["doc_id", "source"]).withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+    sized = C.written(spark, _sized(docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text"), ["doc_id", "source", "h"]), "sizes")
     histogram = C.written(spark, sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     # one row per source: its name and size, in order of code points with null last
     per = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from gridspark.llm import common as C
 from gridspark.llm.files import member, open_fs, put
@@ -99,7 +100,10 @@ def _shared(texts: DataFrame, keys_of, uri: str, name: str, bits: int) -> None:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words): the longest spans made of stretches that another row has too."""
+    """(doc_id, start_word, end_word, n_words, passage): the longest spans made of stretches that another row has too.
+
+    ``passage`` is the class of the span, the least hash of its stretches: equal spans have one class.
+    """
     spark = docs.sparkSession
     C.arrow_batches(spark)
     uri = C.shared_path(spark, "suffixes")
@@ -122,18 +126,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
 
     _shared(texts, suffixes, uri, "suffix", bits)
     _shared(texts, lambda f, s: extended(f, s)[:2], uri, "match", bits)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = StructType([docs.schema["doc_id"]]).add("start_word", "long").add("end_word", "long").add("n_words", "long").add("passage", "long")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, starts = C.word_hashes(batch.column(1), lower=True)
             doc, keys, at = extended(flat, starts)
             hit = member(uri, "match", keys, bits) if len(keys) else np.zeros(0, bool)
-            doc, at = doc[hit], at[hit]
+            doc, at, keys = doc[hit], at[hit], keys[hit]
             first = np.ones(len(at), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + length)
             last = np.append(first[1:], True)[: len(at)]
             own, a, b = doc[first], at[first], at[last] + length
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(a - starts[own], pa.int64()), pa.array(b - starts[own], pa.int64()), pa.array(b - a, pa.int64())], ["doc_id", "start_word", "end_word", "n_words"])
+            passage = np.minimum.reduceat(keys, np.flatnonzero(first)) if len(keys) else keys
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(a - starts[own], pa.int64()), pa.array(b - starts[own], pa.int64()), pa.array(b - a, pa.int64()), pa.array(passage.view(np.int64))], ["doc_id", "start_word", "end_word", "n_words", "passage"])
 
-    return docs.select("doc_id", "text").mapInArrow(spans, f"doc_id {kind}, start_word long, end_word long, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(spans, schema)
