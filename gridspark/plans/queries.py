@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import wkb
-from gridspark.operators import algebra, flow, focal, grids, vector, zonal
+from gridspark.operators import algebra, flow, focal, grids, hydrography, vector, zonal
 from gridspark.operators.model import Grid
 from gridspark.plans import views
 
@@ -641,6 +641,12 @@ _STREAMS = (
 )
 
 
+#: Strahler orders oz(s, o) of the segments, round by round.
+_ORDERS = """od(n, s, o, moved) AS (SELECT 0, start, 1, true FROM sg UNION ALL SELECT n, s, o, o <> old FROM (SELECT t.n + 1 AS n, t.s, t.o AS old, coalesce(u.o, 1) AS o FROM od t LEFT JOIN
+ (SELECT ds, m + CAST(len(list_filter(l, lambda x: x = m)) > 1 AS INTEGER) AS o FROM (SELECT ds, l, list_max(l) AS m FROM (SELECT g.ds, list(e.o) AS l FROM sg g JOIN od e ON e.s = g.start WHERE g.ds IS NOT NULL GROUP BY g.ds))) u ON u.ds = t.s WHERE (SELECT bool_or(moved) FROM od))),
+oz AS (SELECT s, o FROM od WHERE n = (SELECT max(n) FROM od))"""
+
+
 @query()
 def strahler_order(spark: SparkSession, d: str) -> DataFrame:
     q = flow.fill_pits(views.qty(spark, d))
@@ -650,9 +656,8 @@ def strahler_order(spark: SparkSession, d: str) -> DataFrame:
 
 ORACLES["strahler_order"] = (
     _STREAMS
-    + """od(n, s, o, moved) AS (SELECT 0, start, 1, true FROM sg UNION ALL SELECT n, s, o, o <> old FROM (SELECT t.n + 1 AS n, t.s, t.o AS old, coalesce(u.o, 1) AS o FROM od t LEFT JOIN
- (SELECT ds, m + CAST(len(list_filter(l, lambda x: x = m)) > 1 AS INTEGER) AS o FROM (SELECT ds, l, list_max(l) AS m FROM (SELECT g.ds, list(e.o) AS l FROM sg g JOIN od e ON e.s = g.start WHERE g.ds IS NOT NULL GROUP BY g.ds))) u ON u.ds = t.s WHERE (SELECT bool_or(moved) FROM od))),
-oz AS (SELECT s, o FROM od WHERE n = (SELECT max(n) FROM od)),
+    + _ORDERS
+    + """,
 ou(start, s) AS (SELECT start, start FROM sg UNION ALL SELECT ou.start, g.ds FROM ou JOIN sg g ON g.start = ou.s WHERE g.ds IS NOT NULL)
 SELECT sg.start, sg.ds, oz.o AS "order", a.v - b.v AS drop, ou.s AS outlet FROM sg JOIN oz ON oz.s = sg.start JOIN ou ON ou.start = sg.start JOIN sg e ON e.start = ou.s AND e.ds IS NULL JOIN qf a ON a.y * 64 + a.x = sg.start JOIN qf b ON b.y * 64 + b.x = sg.stop"""
 )
@@ -669,6 +674,59 @@ def subwatersheds(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["subwatersheds"] = _STREAMS + "sw(i, t) AS (SELECT i, i FROM nx UNION ALL SELECT sw.i, nx.j FROM sw JOIN nx ON nx.i = sw.t WHERE nx.j IS NOT NULL AND sw.t NOT IN (SELECT stop FROM sg)) SELECT sg.start, sw.i FROM sw JOIN sg ON sg.stop = sw.t"
 
 
+@query()
+def stream_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines as the numbers of the cells that they run through."""
+    d8 = flow.flow_dir_d8(flow.fill_pits(views.qty(spark, d)))
+    on = flow.flow_accumulation_d8(d8).px.filter("v >= 20").select(flow.number(d8).alias("i"))
+    lines = hydrography.stream_lines(d8, on, flow.stream_segments(d8, on))
+
+    @F.pandas_udf("string")
+    def path(geom):
+        def cells(raw):
+            points = wkb.read(raw)[1][0]
+            return " ".join(str(int(np.floor(-y)) * 64 + int(np.floor(x))) for x, y in points)
+
+        return geom.map(cells)
+
+    return lines.select("start", "order", path("geom").alias("cells"))
+
+
+ORACLES["stream_lines"] = (
+    _STREAMS
+    + _ORDERS
+    + """, pt(start, n, i) AS (SELECT i, 0, i FROM hd UNION ALL SELECT pt.start, n + 1, st.j FROM pt JOIN st ON st.i = pt.i WHERE st.j IS NOT NULL AND (n = 0 OR pt.i NOT IN (SELECT i FROM hd)))
+SELECT pt.start, oz.o AS "order", string_agg(pt.i, ' ' ORDER BY n) AS cells FROM pt JOIN oz ON oz.s = pt.start GROUP BY pt.start, oz.o"""
+)
+
+
+@query()
+def watershed_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Areas and extents of the polygons, with the attribute that is copied to them."""
+    local = _local(spark, d)
+    seeds = local.px.filter("v is not null and x % 16 = 5 and y % 10 = 3").select(flow.number(local).alias("i")).withColumn("ws_id", F.col("i"))
+    names = seeds.select("ws_id", F.concat(F.lit("basin "), F.col("ws_id").cast("string")).alias("name"))
+    found = vector.with_bbox(hydrography.watershed_polygons(local, seeds, names))
+    return found.select("ws_id", "name", "area", *(F.col(f"bbox.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+
+
+ORACLES["watershed_polygons"] = _recursive(
+    "SELECT ty * 64 + tx AS ws_id, 'basin ' || (ty * 64 + tx) AS name, CAST(count(*) AS DOUBLE) AS area, CAST(min(x) AS DOUBLE) AS minx, CAST(-max(y) - 1 AS DOUBLE) AS miny, CAST(max(x) + 1 AS DOUBLE) AS maxx, CAST(-min(y) AS DOUBLE) AS maxy FROM up WHERE tx % 16 = 5 AND ty % 10 = 3 GROUP BY ty, tx"
+)
+
+
+@query()
+def subwatershed_polygons(spark: SparkSession, d: str) -> DataFrame:
+    d8 = flow.flow_dir_d8(flow.fill_pits(views.qty(spark, d)))
+    on = flow.flow_accumulation_d8(d8).px.filter("v >= 20").select(flow.number(d8).alias("i"))
+    return hydrography.subwatershed_polygons(d8, flow.stream_segments(d8, on)).select("start", "order", "area")
+
+
+ORACLES["subwatershed_polygons"] = (
+    _STREAMS + _ORDERS + ", sw(i, t) AS (SELECT i, i FROM nx UNION ALL SELECT sw.i, nx.j FROM sw JOIN nx ON nx.i = sw.t WHERE nx.j IS NOT NULL AND sw.t NOT IN (SELECT stop FROM sg)) SELECT sg.start, oz.o AS \"order\", CAST(count(*) AS DOUBLE) AS area FROM sw JOIN sg ON sg.stop = sw.t JOIN oz ON oz.s = sg.start GROUP BY ALL"
+)
+
+
 @query(f"SELECT fid, sum(v) AS v FROM (SELECT z.fid, (q.v % 10) % 5 AS v FROM zones z {IN_ZONE} WHERE q.v IS NOT NULL) GROUP BY fid")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Reclassify the quantity grid and sum the classes per zone."""
