@@ -87,6 +87,11 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(__key, __row): the row key and all columns of each row as one, so that no name of theirs can clash."""
+    return docs.select(row_key().alias("__key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts (rows here, bytes where supported)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -394,12 +394,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     found = classes(docs).groupBy("row_key").agg(F.min(F.col("row_key") == F.col("first_key")).alias("stays"), F.count("*").alias("n"))
     rows = C.written(docs.sparkSession, found.filter("not stays or stays and n > 1"), "later")
-    keyed = docs.withColumn("__row", C.row_key())
-    left = keyed.join(rows.select(F.col("row_key").alias("__row")), "__row", "left_anti").select(docs.columns)
+    keyed = C.boxed(docs)
+    left = keyed.join(rows.select(F.col("row_key").alias("__key")), "__key", "left_anti")
     twice = rows.filter("stays")
     if twice.limit(1).count():
-        others = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
-        rank = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*others)))
-        one = keyed.join(twice.select(F.col("row_key").alias("__row")), "__row", "left_semi").withColumn("__r", rank).filter("__r = 1")
-        left = left.unionByName(one.select(docs.columns))
-    return left
+        others = [F.col("__row").getField(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+        rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*others)))
+        one = keyed.join(twice.select(F.col("row_key").alias("__key")), "__key", "left_semi").withColumn("__r", rank).filter("__r = 1")
+        left = left.unionByName(one.select("__key", "__row"))
+    return left.select("__row.*")

@@ -36,7 +36,7 @@ from gridspark.llm import common as C
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_marks long, n_digits long, n_distinct long"
 #: Significant bits of a sketch's keys, width of the fence in quartile ranges, documents that the wider group counts for.
-DIGITS, SPREAD, PRIOR = 10, 12, 100
+DIGITS, SPREAD, PRIOR = 10, 12, 20
 #: Rule, and the ratio (in millionths) of which there may be too much.
 RULES = (
     ("odd", "word_chars - n_letters - n_digits", "word_chars"),

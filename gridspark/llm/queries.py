@@ -85,7 +85,7 @@ n AS (SELECT level, lang, source, rule, bin, count(*) AS n FROM o GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM n),
 l AS (SELECT level, lang, source, rule, max(total) AS total, min(CASE WHEN upto * 4 >= total * 2 THEN bin END) AS mid, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q FROM c GROUP BY 1, 2, 3, 4),
 e AS (SELECT level, lang, source, rule, CAST(total AS DOUBLE) AS total, CAST(mid AS DOUBLE) AS mid, CAST(q + (1::BIGINT << greatest(0, length(bin(q)) - 10)) AS DOUBLE) AS high FROM l),
-u AS (SELECT a.lang, a.source, a.rule, (a.total * a.mid + 100 * ((k.total * k.mid + 100 * z.mid) / (k.total + 100))) / (a.total + 100) AS mid, (a.total * a.high + 100 * ((k.total * k.high + 100 * z.high) / (k.total + 100))) / (a.total + 100) AS high
+u AS (SELECT a.lang, a.source, a.rule, (a.total * a.mid + 20 * ((k.total * k.mid + 20 * z.mid) / (k.total + 20))) / (a.total + 20) AS mid, (a.total * a.high + 20 * ((k.total * k.high + 20 * z.high) / (k.total + 20))) / (a.total + 20) AS high
   FROM e a JOIN e k ON k.level = 1 AND k.rule = a.rule AND k.lang IS NOT DISTINCT FROM a.lang JOIN e z ON z.level = 2 AND z.rule = a.rule WHERE a.level = 0),
 x AS (SELECT lang, source, rule, CAST(floor(mid + 12 * (high - mid)) AS BIGINT) AS lim FROM u),
 y AS (SELECT lang, source, max(CASE WHEN rule = 'odd' THEN lim END) AS max_odd, max(CASE WHEN rule = 'upper' THEN lim END) AS max_upper, max(CASE WHEN rule = 'long_words' THEN lim END) AS max_long_words,
