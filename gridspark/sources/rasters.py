@@ -1,4 +1,4 @@
-"""Raster files as grids: .npy, ESRI ASCII and baseline GeoTIFF (strips or tiles, raw or deflate).
+"""Raster files as grids: .npy, ESRI ASCII and baseline GeoTIFF (strips or tiles; raw, LZW or deflate).
 
 Files are read by Spark's ``binaryFile`` source, so any path that Spark can open will do, and
 are cut into pixels by the tasks.  Grids are stored as Parquet tiles by ``write_tiles``.
@@ -10,7 +10,7 @@ import io
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.model import Grid, matches
+from gridspark.sources import lzw
 
 Meta = dict
 RASTER, VECTOR = 1, 2
@@ -80,7 +81,7 @@ def _tiff(raw: bytes) -> tuple[Meta, np.ndarray]:
     bits, form = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
     dtype = np.dtype(f"{e}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}".replace(" ", ""))
     compression, predictor, planar = tags.get(259, (1,))[0], tags.get(317, (1,))[0], tags.get(284, (1,))[0]
-    if compression not in (1, 8, 32946) or predictor not in (1, 2):
+    if compression not in (1, 5, 8, 32946) or predictor not in (1, 2):
         raise ValueError(f"TIFF compression {compression} with predictor {predictor} isn't supported")
     if 322 in tags:
         bw, bh, offsets, counts = tags[322][0], tags[323][0], tags[324], tags[325]
@@ -90,7 +91,7 @@ def _tiff(raw: bytes) -> tuple[Meta, np.ndarray]:
     per = bands if planar == 1 else 1
     out = np.zeros((bands, h, w), dtype.newbyteorder("="))
     for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-        block = raw[o : o + c] if compression == 1 else zlib.decompress(raw[o : o + c])
+        block = raw[o : o + c] if compression == 1 else lzw.decode(raw[o : o + c]) if compression == 5 else zlib.decompress(raw[o : o + c])
         plane, k = divmod(i, across * down)
         y, x = (k // across) * bh, (k % across) * bw
         rows = min(bh, len(block) // (bw * per * dtype.itemsize))
@@ -114,15 +115,53 @@ def _tiff(raw: bytes) -> tuple[Meta, np.ndarray]:
     return {"gt": tuple(map(float, gt)), "crs": f"EPSG:{epsg}" if epsg else None, "nodata": float(nodata) if nodata else None}, out
 
 
-def to_tiff(grid: Grid, array: np.ndarray) -> bytes:
-    """A one-band GeoTIFF of deflated strips."""
+#: TIFF's numbers of compressions.
+COMPRESSIONS = {"NONE": 1, "LZW": 5, "DEFLATE": 8}
+
+
+def _options(options: Sequence[str]) -> dict[str, str]:
+    """KEY=VALUE creation options; ValueError for what isn't known."""
+    out = {"TILED": "NO", "COMPRESS": "DEFLATE", "BLOCKXSIZE": "256", "BLOCKYSIZE": "256", "PREDICTOR": "1"}
+    for option in options:
+        key, equals, value = option.upper().partition("=")
+        if not equals or key not in out or key == "COMPRESS" and value not in COMPRESSIONS or key == "PREDICTOR" and value not in ("1", "2"):
+            raise ValueError(f"unknown creation option {option!r}")
+        out[key] = value
+    return out
+
+
+def to_tiff(grid: Grid, array: np.ndarray, creation_options: Sequence[str] = ()) -> bytes:
+    """A one-band GeoTIFF; by default of deflated strips.
+
+    Options: TILED=YES|NO, BLOCKXSIZE and BLOCKYSIZE (multiples of 16), COMPRESS=NONE|LZW|DEFLATE, PREDICTOR=1|2.
+    """
+    asked = _options(creation_options)
     a = np.ascontiguousarray(array, np.dtype(grid.dtype).newbyteorder("<"))
-    rows = max(1, (1 << 16) // max(1, a[0].nbytes))
-    strips = [zlib.compress(a[y : y + rows].tobytes()) for y in range(0, len(a), rows)]
+    if asked["TILED"] == "YES":
+        bw, bh = int(asked["BLOCKXSIZE"]), int(asked["BLOCKYSIZE"])
+        if bw % 16 or bh % 16 or bw <= 0 or bh <= 0:
+            raise ValueError("tile sizes are multiples of 16")
+        padded = np.zeros((-(-len(a) // bh) * bh, -(-a.shape[1] // bw) * bw), a.dtype)
+        padded[: len(a), : a.shape[1]] = a
+        blocks = [padded[y : y + bh, x : x + bw] for y in range(0, len(padded), bh) for x in range(0, padded.shape[1], bw)]
+    else:
+        bw, bh = 0, max(1, (1 << 16) // max(1, a[0].nbytes))
+        blocks = [a[y : y + bh] for y in range(0, len(a), bh)]
+    if asked["PREDICTOR"] == "2":
+        if a.dtype.kind == "f":
+            raise ValueError("predictor 2 is for whole numbers")
+        blocks = [np.concatenate((x[:, :1], np.diff(x, axis=1).astype(a.dtype)), axis=1) for x in blocks]
+    press = {"NONE": bytes, "LZW": lzw.encode, "DEFLATE": zlib.compress}[asked["COMPRESS"]]
+    strips = [press(np.ascontiguousarray(x).tobytes()) for x in blocks]
     form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    offsets = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
-    g = grid.gt
-    tags: list[tuple[int, int, bytes, int]] = [(256, 4, struct.pack("<I", grid.n_cols), 1), (257, 4, struct.pack("<I", grid.n_rows), 1), (258, 3, struct.pack("<H", 8 * a.itemsize), 1), (259, 3, struct.pack("<H", 8), 1), (262, 3, struct.pack("<H", 1), 1), (273, 4, struct.pack(f"<{len(strips)}I", *offsets), len(strips)), (277, 3, struct.pack("<H", 1), 1), (278, 4, struct.pack("<I", rows), 1), (279, 4, struct.pack(f"<{len(strips)}I", *map(len, strips)), len(strips)), (339, 3, struct.pack("<H", form), 1), (33550, 12, struct.pack("<3d", g[1], -g[5], 0), 3), (33922, 12, struct.pack("<6d", 0, 0, 0, g[0], g[3], 0), 6)]
+    offsets = np.concatenate(([8], 8 + np.cumsum([len(x) for x in strips])))[:-1].tolist()
+    g, n = grid.gt, len(strips)
+    one = lambda kind, value: (kind, struct.pack("<H" if kind == 3 else "<I", value), 1)
+    many = lambda values: (4, struct.pack(f"<{n}I", *values), n)
+    fields = {256: one(4, grid.n_cols), 257: one(4, grid.n_rows), 258: one(3, 8 * a.itemsize), 259: one(3, COMPRESSIONS[asked["COMPRESS"]]), 262: one(3, 1), 277: one(3, 1), 339: one(3, form), 317: one(3, int(asked["PREDICTOR"]))}
+    fields |= {33550: (12, struct.pack("<3d", g[1], -g[5], 0), 3), 33922: (12, struct.pack("<6d", 0, 0, 0, g[0], g[3], 0), 6)}
+    fields |= {322: one(4, bw), 323: one(4, bh), 324: many(offsets), 325: many(map(len, strips))} if bw else {273: many(offsets), 278: one(4, bh), 279: many(map(len, strips))}
+    tags: list[tuple[int, int, bytes, int]] = [(tag, *field) for tag, field in fields.items()]
     if grid.crs and (code := int(grid.crs.rpartition(":")[2])):
         geographic = code == 4326
         tags.append((34735, 3, struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 2 if geographic else 1, 2048 if geographic else 3072, 0, 1, code), 12))

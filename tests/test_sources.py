@@ -7,7 +7,7 @@ import pytest
 
 from gridspark.functions import wkb
 from gridspark.operators.model import from_array, to_array
-from gridspark.sources import rasters, vectors
+from gridspark.sources import lzw, rasters, vectors
 
 
 def test_raster_files(spark, tmp_path):
@@ -25,6 +25,25 @@ def test_raster_files(spark, tmp_path):
         rasters.parse(b"nothing")
 
 
+@pytest.mark.parametrize("options", [("TILED=YES", "COMPRESS=LZW", "BLOCKXSIZE=16", "BLOCKYSIZE=32"), ("COMPRESS=LZW", "PREDICTOR=2"), ("COMPRESS=NONE", "TILED=YES"), ("PREDICTOR=2",)])
+def test_tiff_creation_options(spark, options):
+    a = np.random.default_rng(1).integers(0, 60, (70, 45)).astype(np.int32) * 7
+    g = from_array(spark, a[:1, :1], nodata=-1, pixel_size=(30.0, -30.0), origin=(100.0, 200.0))
+    g = g.with_px(g.px, n_rows=70, n_cols=45, dtype="int32")
+    meta, back = rasters.parse(rasters.to_tiff(g, a, options))
+    assert (back[0] == a).all() and meta["nodata"] == -1 and meta["gt"] == (100.0, 30.0, 0.0, 200.0, 0.0, -30.0)
+    with pytest.raises(ValueError):
+        rasters.to_tiff(g, a, ("COMPRESS=WORSE",))
+
+
+def test_lzw_known_and_long_data():
+    # fixed values: the example of the TIFF 6.0 specification
+    assert lzw.decode(bytes([0x80, 0x01, 0xE0, 0x40, 0x80, 0x44, 0x08, 0x0C, 0x06, 0x80, 0x80])) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    rng = np.random.default_rng(2)
+    for data in (b"", b"a", b"aaaa" * 9000, rng.integers(0, 256, 60_000).astype(np.uint8).tobytes(), rng.integers(0, 4, 60_000).astype(np.uint8).tobytes()):
+        assert lzw.decode(lzw.encode(data)) == data
+
+
 def test_tiles(spark, tmp_path):
     a = np.random.default_rng(0).random((10, 13))
     a[3, 4] = -1
