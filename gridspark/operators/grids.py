@@ -185,7 +185,7 @@ def stitch(target: Grid, sources: Sequence[Grid], overlap: str = "etch", weigh_b
     for i, s in enumerate(sources):
         if (s.gt[1], s.gt[5]) != (target.gt[1], target.gt[5]) or (s.crs and target.crs and s.crs != target.crs):
             s = warp(s, (target.gt[1], target.gt[5]), "near", crs=target.crs)
-        dx, dy = int((s.gt[0] - target.gt[0]) / target.gt[1]), int((s.gt[3] - target.gt[3]) / target.gt[5])
+        dx, dy = _whole_steps(s.gt[0] - target.gt[0], target.gt[1]), _whole_steps(s.gt[3] - target.gt[3], target.gt[5])
         v = F.col("v").cast("double")
         if weigh_by_area:
             v = v * pixel_area_m2(abs(target.gt[1]), F.lit(target.gt[3]) + (F.col("y") + dy + 0.5) * target.gt[5])
@@ -197,6 +197,14 @@ def stitch(target: Grid, sources: Sequence[Grid], overlap: str = "etch", weigh_b
     return target.with_px(every.groupBy("y", "x").agg(agg.alias("v")), dtype="float64")
 
 
+def _whole_steps(offset: float, size: float) -> int:
+    """How many pixels ``offset`` is; ValueError for a grid between the pixels of the other."""
+    steps = offset / size
+    if not math.isclose(steps, round(steps), rel_tol=0, abs_tol=1e-3):
+        raise ValueError(f"the grids are {steps} pixels apart; warp one to the other first")
+    return round(steps)
+
+
 def pixel_area_m2(size: float, lat: Column) -> Column:
     """Area of a WGS84 pixel of ``size`` degrees whose centre is at ``lat``."""
     a, b = 6378137.0, 6356752.3142  # fixed values: semi-axes of the ellipsoid in metres

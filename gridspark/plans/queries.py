@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import wkb
 from gridspark.operators import algebra, flow, focal, grids, hydrography, vector, zonal
-from gridspark.operators.model import Grid
+from gridspark.operators.model import Grid, is_close
 from gridspark.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +285,59 @@ def overview_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].join(parts[1], ["y", "x"]).join(parts[2], ["y", "x"])
 
 
+@query("SELECT y // 4 AS y, x // 4 AS x, round(first(v ORDER BY y, x), 6) + 0.0 AS near, round(min(v), 6) + 0.0 AS low, round(max(v), 6) + 0.0 AS high, round(sum(v), 6) + 0.0 AS total, round(quantile_cont(v, 0.75), 6) + 0.0 AS q3 FROM emb GROUP BY 1, 2")
+def overview_rest(spark: SparkSession, d: str) -> DataFrame:
+    e = views.emb(spark, d)
+    parts = [rounded(focal.overview(e, 4, m), name) for m, name in (("near", "near"), ("min", "low"), ("max", "high"), ("sum", "total"), ("q3", "q3"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, ["y", "x"])
+    return out
+
+
+#: The ellipsoid's area between the equator and a latitude, per radian of longitude, in closed form.
+_ZONE = "pi() * pow(6356752.3142, 2) * (ln((1 + e * sin(radians({0}))) / (1 - e * sin(radians({0})))) / (2 * e) + sin(radians({0})) / ((1 + e * sin(radians({0}))) * (1 - e * sin(radians({0})))))"
+
+
+@query(f"SELECT y, round(abs({_ZONE.format('top')} - {_ZONE.format('(top - 0.5)')}) * 0.5 / 360, 2) AS area FROM (SELECT CAST(i AS BIGINT) AS y, 60 - i * 0.5::DOUBLE AS top, sqrt(1 - pow(6356752.3142 / 6378137.0, 2)) AS e FROM (SELECT unnest(range(240)) AS i))")
+def pixel_areas(spark: SparkSession, d: str) -> DataFrame:
+    return grids.latitude_areas(spark, -60.0, 60.0, 240).select("y", F.round("area", 2).alias("area"))
+
+
+@query("SELECT n, min(m) AS regular FROM (SELECT unnest(range(1, 400)) AS n), (SELECT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS m FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(7)) AS b), (SELECT unnest(range(5)) AS c)) WHERE m >= n GROUP BY n")
+def regular_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, focal.next_regular(n)) for n in range(1, 400)], "n long, regular long")
+
+
+@query("SELECT y, x, v IS NOT NULL AND abs(v - w) <= 1e-8 + 1e-5 * abs(w) AS same FROM (SELECT y, x, CAST(v AS DOUBLE) AS v, v * (1 + 0.000004::DOUBLE * (x % 5)) AS w FROM qty)")
+def close_cells(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("v").cast("double")
+    return views.qty(spark, d).px.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(is_close(v, v * (1 + 0.000004 * (F.col("x") % 5))), F.lit(False)).alias("same"))
+
+
+@query("SELECT CAST(ceil((max(x0) + 12 - min(x0)) / 2.0) AS BIGINT) AS n_cols, CAST(ceil((max(y0) + 6 - min(y0)) / 2.0) AS BIGINT) AS n_rows, CAST(min(x0) AS DOUBLE) AS left_x, CAST(-min(y0) AS DOUBLE) AS top_y, ceil((max(x0) + 12 - min(x0)) / 2.0)::BIGINT * ceil((max(y0) + 6 - min(y0)) / 2.0)::BIGINT AS cells FROM zones")
+def grid_of_zones(spark: SparkSession, d: str) -> DataFrame:
+    made = grids.grid_from_features(vector.with_bbox(views.zones(spark, d, views.qty(spark, d))), (2.0, -2.0), fill=1.0)
+    return made.px.agg(F.count("v").alias("cells")).select(F.lit(made.n_cols).cast("long").alias("n_cols"), F.lit(made.n_rows).cast("long").alias("n_rows"), F.lit(float(made.gt[0])).alias("left_x"), F.lit(float(made.gt[3])).alias("top_y"), "cells")
+
+
+@query("SELECT fid, name, CAST(72 AS DOUBLE) AS area FROM zones")
+def layer_of_geometries(spark: SparkSession, d: str) -> DataFrame:
+    """A layer made of local geometries and their attributes, and the areas of what it holds."""
+    rows = views.zones(spark, d, views.qty(spark, d)).orderBy("fid").collect()  # a row per nation
+    layer = vector.from_geometries(spark, [bytes(r.geom) for r in rows], {"name": "string"}, [{"name": r["name"]} for r in rows])
+    area = F.pandas_udf(lambda geoms: geoms.map(lambda g: wkb.area(*wkb.read(g))), "double")
+    return layer.select("fid", "name", area("geom").alias("area"))
+
+
+@query("SELECT fid, floor((x0 + 0.3) / 2.5) * 2.5 AS minx, floor((-y0 - 5.6) / 1.5) * 1.5 AS miny, ceil((x0 + 11.7) / 2.5) * 2.5 AS maxx, ceil((-y0 - 0.4) / 1.5) * 1.5 AS maxy FROM zones")
+def aligned_boxes(spark: SparkSession, d: str) -> DataFrame:
+    q = views.qty(spark, d)
+    boxes = vector.with_bbox(views.zones(spark, d, q)).select("fid", "bbox.*").collect()  # a row per nation
+    rows = [(r.fid, *map(float, grids.align_bbox((0.0, 2.5, 0.0, 0.0, 0.0, -1.5), [r.minx + 0.3, r.miny + 0.4, r.maxx - 0.3, r.maxy - 0.4]))) for r in boxes]
+    return spark.createDataFrame(rows, "fid long, minx double, miny double, maxx double, maxy double")
+
+
 # ---------------------------------------------------------------- focal
 def _line(a: str, b: str, c: str, weight: int) -> tuple[str, str]:
     """Numerator and denominator of the difference along one line of three cells, as far as they have data."""
@@ -344,6 +397,16 @@ def kernel_linear_decay(spark: SparkSession, d: str) -> DataFrame:
     return focal.linear_decay_kernel(spark, 4.5).select("ky", "kx", F.round("w", 9).alias("w"))
 
 
+@query("SELECT ky, kx, round(w / sum(w) OVER (), 9) AS w FROM (SELECT i // 11 AS ky, i % 11 AS kx, CASE WHEN sqrt(pow(i // 11 - 5, 2) + pow(i % 11 - 5, 2)) <= 5.5 THEN exp(-sqrt(pow(i // 11 - 5, 2) + pow(i % 11 - 5, 2)) / 2) ELSE 0 END AS w FROM (SELECT unnest(range(121)) AS i))")
+def kernel_exponential(spark: SparkSession, d: str) -> DataFrame:
+    return focal.exponential_decay_kernel(spark, 5.5, 2.0).select("ky", "kx", F.round("w", 9).alias("w"))
+
+
+@query("SELECT ky, kx, round(CASE WHEN d <= 4 THEN 1 / (1 + d) ELSE 0 END, 9) AS w FROM (SELECT i // 9 AS ky, i % 9 AS kx, sqrt(pow(i // 9 - 4, 2) + pow(i % 9 - 4, 2)) AS d FROM (SELECT unnest(range(81)) AS i))")
+def kernel_text(spark: SparkSession, d: str) -> DataFrame:
+    return focal.kernel(spark, "1 / (1 + dist)", 4.0, normalize=False).select("ky", "kx", F.round("w", 9).alias("w"))
+
+
 @query("SELECT ky, kx, round(CASE WHEN d <= 6 THEN exp(-d * d / 8) / (8 * pi()) ELSE 0 END, 9) AS w FROM (SELECT i // 13 AS ky, i % 13 AS kx, sqrt(pow(i // 13 - 6, 2) + pow(i % 13 - 6, 2)) AS d FROM (SELECT unnest(range(169)) AS i))")
 def kernel_normal(spark: SparkSession, d: str) -> DataFrame:
     return focal.normal_distribution_kernel(spark, 2.0, normalize=False).select("ky", "kx", F.round("w", 9).alias("w"))
