@@ -42,6 +42,9 @@ def align_bbox(gt: GeoTransform, box: Box) -> Box:
         raise ValueError("the geotransform has a zero pixel size")
     if box[0] > box[2] or box[1] > box[3]:
         raise ValueError(f"the box is turned inside out: {box}")
+    for low, origin, size in ((box[0], gt[0], gt[1]), (box[1], gt[3], gt[5])):
+        if (low - origin) * size < 0:  # before the origin, as the axis runs
+            raise ValueError(f"the box {box} isn't within the grid")
     out = []
     for i, (o, p) in enumerate(((gt[0], abs(gt[1])), (gt[3], abs(gt[5])), (gt[0], abs(gt[1])), (gt[3], abs(gt[5])))):
         steps = (box[i] - o) / p
