@@ -171,7 +171,8 @@ def derivative_report(pages: DataFrame) -> DataFrame:
     files = write_warc(derivatives(made), uri).collect()  # a row a file
     back = read_files(spark, uri, [r.file for r in files])
     source = made.select("page_id", F.col("record_id").alias("refers_to")).distinct()
-    return back.join(source, "refers_to").select("page_id", *(c for c in back.columns))
+    # both sides grow with the pages: never broadcast
+    return back.hint("merge").join(source.hint("merge"), "refers_to").select("page_id", *back.columns)
 
 
 READ = "warc_type string, record_id string, target_uri string, refers_to string, concurrent_to string, content_type string, content_length long, block_digest string, payload_digest string, source_digest string"
