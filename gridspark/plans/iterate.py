@@ -20,7 +20,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not sc.master.startswith("local"):
+            if sc.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='gridspark-')}"
         sc.setCheckpointDir(root)
