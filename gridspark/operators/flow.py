@@ -145,8 +145,10 @@ def fill_pits(dem: Grid, outlet: tuple[int, int] | None = None, most_cells: int
 def regions(mask: Grid) -> DataFrame:
     """(y, x, region): connected cells (eight neighbours) that are not NULL; a region is named by its least cell number."""
 
+    n_cols = mask.n_cols
+
     def solve(tile: Tile) -> None:
-        own = np.where(np.isnan(tile.layers[0]), np.inf, np.minimum(tile.state[0], tile.number(mask.n_cols)))
+        own = np.where(np.isnan(tile.layers[0]), np.inf, np.minimum(tile.state[0], tile.number(n_cols)))
         inner = spread.within(tile)
         own = np.where(inner, own, tile.state[0])
         while True:
@@ -157,7 +159,7 @@ def regions(mask: Grid) -> DataFrame:
             own = best
         tile.state[0] = own
 
-    found = settle(mask.px, ["v"], mask.n_rows, mask.n_cols, solve, lambda t: {"region": np.where(np.isfinite(t.state[0]), t.state[0], np.nan)}, "region double", start=np.inf)
+    found = settle(mask.px, ["v"], mask.n_rows, n_cols, solve, lambda t: {"region": np.where(np.isfinite(t.state[0]), t.state[0], np.nan)}, "region double", start=np.inf)
     return found.filter("region is not null").select("y", "x", F.col("region").cast("long").alias("region"))
 
 

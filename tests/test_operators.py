@@ -212,3 +212,35 @@ def test_t_test():
 
     assert flow.t_test(S(10, 0.0, 1.0), S(10, 0.0, 1.0)) == pytest.approx(1)
     assert flow.t_test(S(10, 0.0, 1.0), S(10, 1.0, 1.0)) == pytest.approx(0.0382, abs=1e-3)
+
+
+def test_pits_and_flats_across_tiles(spark, monkeypatch):
+    """Tiles of six cells a side give what one tile gives; a pit with too many cells stays as it is."""
+    from gridspark.operators import spread
+    from gridspark.plans import tiles
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 4, (13, 11)).astype(float)
+    a[4:10, 2:9] = 3
+    a[5:9, 3:8] = 0
+    a[2, 2] = -1  # no data
+    dem = from_array(spark, a, nodata=-1)
+
+    def chain():
+        filled = flow.fill_pits(dem)
+        many = flow.flow_dir_mfd(filled)
+        return [to_array(g) for g in (filled, flow.flow_dir_d8(filled), many, flow.flow_accumulation_mfd(many))]
+
+    whole = chain()
+    monkeypatch.setattr(tiles.settle, "__defaults__", (1, np.nan, 6))
+    parts = chain()
+    for x, y in zip(whole, parts, strict=True):
+        assert np.allclose(x, y, equal_nan=True)
+    raised = (whole[0] > a) & (a >= 0)
+    labels = {(r.y, r.x): r.region for r in flow.regions(dem.with_px(dem.px.selectExpr("y", "x", "case when v = 0 then 1 end as v"))).collect()}
+    assert set(labels) == {(int(y), int(x)) for y, x in zip(*np.nonzero(a == 0), strict=True)}
+    assert len({labels[y, x] for y in range(5, 9) for x in range(3, 8)}) == 1
+    kept = to_array(flow.fill_pits(dem, most_cells=3))
+    changed = (kept > a) & (a >= 0)
+    assert (changed <= raised).all() and changed.sum() < raised.sum()
+    assert spread.packed(np.ones((8, 1, 1))).item() == sum(2 << 4 * k for k in range(8))
