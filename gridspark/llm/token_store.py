@@ -49,8 +49,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from gridspark.llm import common as C
 from gridspark.llm.files import get, open_fs, put
 
-#: Pieces a worker's cache holds before it starts afresh (about 100 MB).
-PIECES = 400_000
+#: Pieces a worker's cache holds before it starts afresh (about 60 MB).
+PIECES = 250_000
 KEYS_PER_BUCKET = 100_000
 SAMPLED = 100
 LEVELS = 48
