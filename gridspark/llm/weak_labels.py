@@ -37,6 +37,7 @@ BITS, FIT_ROWS, SEED = 16, 20_000, 11
 #: Labeller, statistic, its base, poor beyond, fine below.
 LABELLERS = (
     ("symbols", "n_symbols", "n_words", 0.15, 0.03),
+    ("symbol_share", "n_symbols", "word_chars", 0.08, 0.02),
     ("odd", "n_odd", "word_chars", 0.12, 0.06),
     ("capitals", "n_upper", "n_letters", 0.45, 0.25),
     ("marks", "n_marks", "n_words", 0.25, 0.10),
