@@ -295,6 +295,24 @@ def test_decontamination_with_answers_beside_the_question(spark):
     assert {r.doc_id for r in got} == {0, 1, 2} and all(r.cover == 1 and r.end_word - r.start_word == 20 for r in got)
 
 
+def test_latent_space_is_that_of_all_documents(spark):
+    """Words of single documents among 40,000, and singular vectors against numpy's over every row."""
+    texts = F.when(F.col("id") % 1000 == 7, F.format_string("rare%d rare%d common%d", F.col("id"), (F.col("id") + 1000) % 40_000, F.col("id") % 7)).otherwise(F.format_string("common%d filler%d", F.col("id") % 7, F.col("id") % 11))
+    docs = spark.range(0, 40_000, 1, 4).select(texts.alias("text"))
+    hashes, _ = decontaminate.words([f"rare{i}" for i in range(7, 40_000, 1000)] + [f"common{i}" for i in range(7)])
+    used, weights = C.distinct(decontaminate.feature(hashes)), decontaminate.idf(docs)
+    assert len(used) == 47
+    ids, vectors = decontaminate.latent_space(docs, weights, used, rank=7, extra=73)
+    assert ids.tolist() == used.tolist()
+    rows = Counter(r.text for r in docs.collect())
+    a = np.zeros((len(rows), 1 << decontaminate.FEATURE_BITS), np.float32)
+    for row, (text, n) in zip(a, rows.items(), strict=True):
+        f, w = decontaminate.tf_idf(decontaminate.words([text])[0], weights)
+        row[f] = w * math.sqrt(n)
+    exact = np.linalg.svd(a[:, used].astype(float), full_matrices=False)[2][:7]
+    assert np.allclose(vectors @ vectors.T, exact.T @ exact, atol=1e-5)
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(30):
