@@ -30,3 +30,18 @@ def test_stages_and_run(spark, tmp_path):
     assert Counter(r.doc_id for r in out.collect()) == times
     want = token_store.token_report(mixed, tokenizer_path())
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_decontamination_judges_rows_alike_at_any_size(spark, tmp_path):
+    """Items with their halves swapped go from 100 rows and from the same with 40,000 more."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [[f"i{i}x{k}" for k in range(30)] for i in range(24)]
+    rows = [(i, f"{line(20)} {' '.join(t[15:] + t[:15])} {line(20)}") for i, t in enumerate(items)] + [(i, line(70)) for i in range(24, 100)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    large = small.union(spark.range(100, 40_100, 1, 4).selectExpr("id", "format_string('f%d g%d', id, id % 50)"))
+    for docs in (small, large):
+        kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+        assert [r.doc_id for r in kept.filter("doc_id < 100").orderBy("doc_id").collect()] == list(range(24, 100))
+        assert kept.count() == docs.count() - 24
