@@ -30,17 +30,16 @@ whole numbers or strings; an empty table gives a store without shards; extra col
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,49 +48,166 @@ from pyspark.sql.types import StringType, StructField, StructType
 from gridspark.llm import common as C
 from gridspark.llm.files import get, open_fs, put
 
-#: Pieces a worker's cache holds before it starts afresh (about 60 MB).
-PIECES = 250_000
 KEYS_PER_BUCKET = 100_000
 SAMPLED = 100
 LEVELS = 48
-#: How a byte-level tokenizer cuts a text and which characters stand for its bytes.
-BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Bytes of text that are cut at once, parts that are looked up at once, and slots of a worker's table of parts (about 61 MB and the ids).
+CUT, STRIP, SLOTS = 1 << 19, 1 << 16, 1 << 21
+#: 64-bit words of a key: a part of more bytes is encoded each time that a strip has it.
+KEY = 3
+MULTIPLIERS = 1, *C.BASES
+#: Kinds of bytes: others, space, line feed, ASCII letters, ASCII punctuation, control bytes; and after which a part begins at which.
+OTHER, SPACE, FEED, LETTER, MARK, CONTROL = range(6)
+KINDS = np.array([FEED if i == 10 else SPACE if i == 32 else CONTROL if i < 32 or i == 127 else OTHER if i > 127 or chr(i).isdigit() else LETTER if chr(i).isalpha() else MARK for i in range(256)], np.uint8)
+BEGINS = np.zeros((8, 8), bool)
+BEGINS[:, [SPACE, FEED]] = BEGINS[FEED] = BEGINS[LETTER, MARK] = True
+#: Neighbours for which a text is encoded as a whole.
+ODD = np.zeros((8, 8), bool)
+ODD[SPACE : FEED + 1, SPACE : FEED + 1] = ODD[:, CONTROL] = True
+#: Masks of the lowest 0 to 8 bytes of a word.
+BELOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Parts that the pattern of a byte-level tokenizer takes as one word (all of these are letters), and which
+#: characters stand for its bytes.
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _plain)}
 INDEX_ROW = np.dtype([("print", "<u4"), ("shard", "<u4"), ("row", "<u8"), ("rows", "<u8")])
 
 
 # ---------------------------------------------------------------- text to ids
-class Pieces(dict):
-    """piece of text -> packed ids, found when first asked for (twice bounded: here and in ``parts``)."""
+def part_starts(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every part of the texts in ``raw``, and which texts have white space beside white space or control bytes."""
+    starts, odd = [np.zeros(0, np.int64)], np.zeros(len(cuts) - 1, bool)
+    heads = cuts[:-1][cuts[:-1] < cuts[1:]]
+    for a in range(0, len(raw), CUT):
+        kind = KINDS[raw[max(a - 1, 0) : a + CUT]]
+        if a == 0:
+            kind = np.concatenate((np.array([OTHER], np.uint8), kind))
+        pair = kind[:-1] << np.uint8(3) | kind[1:]
+        head = heads[np.searchsorted(heads, a) : np.searchsorted(heads, a + CUT)] - a
+        pair[head] &= np.uint8(7)
+        begins = BEGINS.reshape(-1)[pair]
+        begins[head] = True
+        starts.append(np.flatnonzero(begins) + a)
+        bad = np.flatnonzero(ODD.reshape(-1)[pair]) + a
+        odd[np.searchsorted(cuts, bad, "right") - 1] = True
+    return np.concatenate(starts), odd
+
+
+class Parts:
+    """Ids of parts of texts: an open-addressed table in arrays, with the bytes of the parts as keys.
+
+    No Python object is held, and none is made for a part that is known.  A table that is full starts afresh.
+    """
 
-    def __init__(self, tokenizer, code: str) -> None:
-        super().__init__()
-        self.tokenizer, self.model, self.code, self.parts = tokenizer, tokenizer.model, code, {}
+    def __init__(self, tokenizer, dtype: np.dtype) -> None:
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(SLOTS, np.uint64) for _ in range(KEY)]  # no part begins with a zero byte
+        self.start, self.count, self.ids = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8), np.zeros(1 << 16, self.dtype)
+        self.held, self.used = 0, 0
+
+    def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Write the ids of these parts behind the used ones: where those of each begin, and their number."""
+        ids = [self.of(x.decode()) for x in parts]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(count.sum()))
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(self.used // 2 + 2 * len(new), self.dtype)))
+        self.ids[self.used : self.used + len(new)] = new
+        return self.used + np.cumsum(count) - count, count
+
+    def of(self, part: str) -> list[int]:
+        if not WORD.fullmatch(part, part[0] == " "):
+            return self.tokenizer.encode(part, add_special_tokens=False).ids
+        # one word, which the model takes as it is
+        mapped = part.replace(" ", BYTES[32]) if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def slots(self, keys: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """Slot of each key, or -1."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            there = self.keys[0][slot]
+            same = there == keys[0][left]
+            for mine, own in zip(keys[1:], self.keys[1:], strict=True):
+                same &= own[slot] == mine[left]
+            out[left[same]] = slot[same]
+            on = np.flatnonzero(~same & (there != 0))
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
+    def store(self, keys: list[np.ndarray], hashes: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Give each of these keys, which differ, the next free slot."""
+        left, slot = np.arange(len(hashes)), (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[0][slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            at, own = slot[free[one]], left[free[one]]
+            for mine, theirs in zip(keys, self.keys, strict=True):
+                theirs[at] = mine[own]
+            self.start[at], self.count[at] = start[own], count[own]
+            on = np.ones(len(left), bool)
+            on[free[one]] = False
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        self.held += len(hashes)
+
+    def encode(self, raw: np.ndarray, words: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts of ``raw`` one after the other, and their number by part; ``words`` is ``raw`` as 64-bit words."""
+        if self.held > SLOTS * 5 // 8 - len(first):
             self.clear()
-            self.parts.clear()
-        if not piece.isascii() and max(piece) >= "\u0250":
-            got = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        else:  # Latin: cut by the pattern and given to the model part by part
-            got = b"".join([self.parts.get(x) or self.part(x) for x in BYTE_LEVEL.findall(piece)])
-        self[piece] = got
-        return got
-
-    def part(self, part: str) -> bytes:
-        mapped = part.replace(" ", BYTES[32]) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTES)
-        got = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return got
+        length = end - first
+        keys = read_keys(words, first, length)
+        hashes = C.mix(sum(key * np.uint64(base) for key, base in zip(keys, MULTIPLIERS, strict=True)))
+        slot = self.slots(keys, hashes)
+        known = slot >= 0
+        known &= length <= 8 * KEY
+        start, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        for short in (True, False):
+            new = np.flatnonzero(~known & ((length <= 8 * KEY) == short))
+            if not len(new):
+                continue
+            if short:
+                order = new[np.argsort(hashes[new], kind="stable")]
+                fresh = np.zeros(len(order), bool)
+                fresh[0] = True
+                for key in keys:
+                    fresh[1:] |= key[order[1:]] != key[order[:-1]]
+                place, one = np.cumsum(fresh) - 1, order[fresh]
+                parts = [raw[a:b].tobytes() for a, b in zip(first[one].tolist(), end[one].tolist(), strict=True)]
+            else:
+                found: dict[bytes, int] = {}
+                order, place = new, np.array([found.setdefault(raw[a:b].tobytes(), len(found)) for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)])
+                parts = list(found)
+            begin, many = self.learn(parts)
+            start[order], count[order] = begin[place], many[place]
+            if short:  # long ones are last and overwritten by the next strip
+                self.store([key[one] for key in keys], hashes[one], begin, many)
+                self.used += int(many.sum())
+        upto = np.cumsum(count)
+        return self.ids[np.repeat(start - upto + count, count) + np.arange(int(upto[-1]))], count
+
+
+def read_keys(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """The first bytes of each part as ``KEY`` numbers, with zeros behind its end."""
+    at, shift, out = first >> 3, ((first & 7) << 3).astype(np.uint64), []
+    for k in range(KEY):
+        # a shift by 64 in two steps
+        key = words[at + k] >> shift | words[at + k + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        out.append(key & BELOW[np.clip(length - 8 * k, 0, 8)])
+    return out
 
 
 class Encoder:
     """Ids of whole texts as packed bytes, by the tokenizer in ``path``.
 
-    A byte-level tokenizer with the usual pattern never lets a piece reach over a single
-    space or line feed between other characters: such a text is cut there and every distinct
-    piece is encoded once.  Any other text, and any other tokenizer, is encoded as a whole.
+    A byte-level tokenizer with the usual pattern never lets a token reach over a single space or
+    line feed between other characters, nor from an ASCII letter to ASCII punctuation: such a
+    text is cut there and every distinct part is encoded once.  Any other text, and any other
+    tokenizer, is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -100,32 +216,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_part = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
-        self.pieces = Pieces(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I")
-
-    def _apart(self, text: str) -> bool:
-        """Whether every white space in ``text`` is one space or line feed between other characters."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
-            return False
-        return self.added is None or not self.added.search(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole = list(range(len(texts)))
-        if self.by_piece:
-            get_ids, whole = self.pieces.__getitem__, []
-            for i, text in enumerate(texts):
-                if self._apart(text):
-                    out[i] = b"".join(map(get_ids, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")))
-                else:
-                    whole.append(i)
-        for i, got in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else [], strict=True):
+        self.parts = Parts(self.tokenizer, self.dtype) if self.by_part else None
+
+    def _plain(self, text: str) -> bool:
+        """Whether ``text`` is printable but for line feeds and has no added token."""
+        return text.replace("\n", "").isprintable() and (self.added is None or not self.added.search(text))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        _, cuts = C.buffer_of(column)
+        out, at = [], 0
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + CUT, "right")) - 1)
+            out += self._encode(column.slice(at, stop - at))
+            at = stop
+        return out
+
+    def _encode(self, column: pa.Array) -> list[bytes]:
+        whole = np.ones(len(column), bool)
+        out: list[bytes] = [b""] * len(column)
+        if self.by_part:
+            raw, cuts = C.buffer_of(column)
+            first, whole = part_starts(raw, cuts)
+            if not self._plain(raw.tobytes().decode()):
+                whole |= ~np.array([self._plain(t or "") for t in column.to_pylist()], bool)
+            if not whole.all():
+                rest = np.flatnonzero(~whole)
+                if len(rest) < len(whole):
+                    raw, cuts = C.buffer_of(column.take(pa.array(rest)))
+                    first, _ = part_starts(raw, cuts)
+                ids, upto = self._by_part(raw, first)
+                ends = (upto[np.searchsorted(first, cuts)] * self.dtype.itemsize).tolist()
+                for i, a, b in zip(rest.tolist(), ends[:-1], ends[1:], strict=True):
+                    out[i] = ids[a:b]
+        rest = np.flatnonzero(whole).tolist()
+        for i, got in zip(rest, self.tokenizer.encode_batch_fast([column[i].as_py() or "" for i in rest], add_special_tokens=False) if rest else [], strict=True):
             out[i] = np.array(got.ids, self.dtype).tobytes()
         return out
 
+    def _by_part(self, raw: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids of all parts as packed bytes, and the number of ids before each part (one entry more)."""
+        padded = np.zeros((len(raw) >> 3) + KEY + 2, np.uint64)
+        padded.view(np.uint8)[: len(raw)] = raw
+        ids, counts, end = [], [np.zeros(1, np.int64)], np.append(first[1:], len(raw))
+        for i in range(0, len(first), STRIP):
+            got, count = self.parts.encode(raw, padded, first[i : i + STRIP], end[i : i + STRIP])
+            ids.append(got.tobytes())
+            counts.append(count)
+        return b"".join(ids), np.cumsum(np.concatenate(counts))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -228,7 +371,7 @@ def write_store(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, key:
             keys = batch.column(0)
             shard = _shard_of(keys, cuts, dealt)
             dealt += len(batch)
-            ids = [x + end for x in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [x + end for x in enc.encode(batch.column(1))]
             n = [len(x) // enc.dtype.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())],

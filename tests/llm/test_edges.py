@@ -1,6 +1,7 @@
 """Edge cases of the operators: odd ids and columns, very long texts, large groups, errors of labellers, paraphrases."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -134,6 +135,31 @@ def test_pieces_agree_with_the_library_on_odd_unicode():
     assert enc.encode(texts) == want
 
 
+def test_parts_agree_with_the_library_in_a_small_table(monkeypatch):
+    """Parts beyond a key, equal up to a word of the key, cut between strips, and a table that starts afresh."""
+    for name, value in (("CUT", 100), ("STRIP", 40), ("SLOTS", 128)):
+        monkeypatch.setattr(token_store, name, value)
+    enc, own = token_store.Encoder(tokenizer_path()), random.Random(4)
+    parts = [c * n + x for c in "aé" for n in (3, 4, 7, 8, 11, 12, 15, 16, 23, 24, 40) for x in ("", "b", "c", "é", "ß", "1", ".", "'s", "!?", "…")] + ["don't", "I'll", "×", "a×b", "1.5", "x<y", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", "a\x00b", "a\u00a0b", " a ", "a\n"] + [own.choice([" ", "\n"]).join(own.choice(parts) for _ in range(own.randint(0, 30))) for _ in range(500)]
+    want = [np.array(x.ids, enc.dtype).tobytes() for x in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        assert enc.encode(texts) == enc.encode(pa.array(texts).slice(0)) == want
+
+
+def test_many_distinct_words_are_encoded_once():
+    """300,000 distinct words seen again aren't given to the tokenizer again."""
+    enc = token_store.Encoder(tokenizer_path())
+    own = random.Random(3)
+    words = list({"".join(own.choice("aeiorstn") for _ in range(9)) for _ in range(300_000)})
+    texts, took = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)], []
+    for _ in range(2):
+        start = time.process_time()
+        enc.encode(texts)
+        took.append(time.process_time() - start)
+    assert took[1] < took[0] / 2, took
+
+
 # ---------------------------------------------------------------- Jaccard join
 def test_hot_shingles(spark):
     """Shingles of more documents than ``HOT`` go as rows and not in blobs."""
