@@ -45,3 +45,18 @@ def test_decontamination_judges_rows_alike_at_any_size(spark, tmp_path):
         kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
         assert [r.doc_id for r in kept.filter("doc_id < 100").orderBy("doc_id").collect()] == list(range(24, 100))
         assert kept.count() == docs.count() - 24
+
+
+def test_decontamination_holds_when_common_words_fill_the_space(spark, tmp_path):
+    """Items of rare and common words with their halves swapped go from 100 rows and from the same among 20,000."""
+    rng = random.Random(9)
+    line = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [[f"i{i}x{k}" if k % 3 else line(1)[0] for k in range(30)] for i in range(40)]
+    rows = [(i, " ".join(line(20) + t[15:] + t[:15] + line(20))) for i, t in enumerate(items)] + [(i, " ".join(line(70))) for i in range(40, 100)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    large = small.union(spark.range(100, 20_000, 1, 4).selectExpr("id", "concat_ws(' ', transform(sequence(1, 30), k -> concat('w', pmod(xxhash64(id, k), 3000))))"))
+    for docs in (small, large):
+        kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+        assert [r.doc_id for r in kept.filter("doc_id < 100").orderBy("doc_id").collect()] == list(range(40, 100))
+        assert kept.count() == docs.count() - 40
