@@ -166,6 +166,16 @@ def test_polygonize_holes(spark):
     assert wkb.area(*wkb.read(rows[1].geom)) == 96
 
 
+def test_the_driver_collects_its_garbage(spark, monkeypatch):
+    from gridspark.plans import iterate
+
+    monkeypatch.setattr(iterate, "GARBAGE_MB", 0)
+    run = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(b.getCollectionCount() for b in run if "Old" in b.getName())
+    iterate.cut(spark.range(3))
+    assert sum(b.getCollectionCount() for b in run if "Old" in b.getName()) > before
+
+
 def test_d8_on_a_flat(spark):
     assert to_array(flow.flow_dir_d8(grid(spark, np.zeros((11, 11))))).astype(int).tolist() == D8.tolist()
 
