@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -194,45 +195,75 @@ def _tiles(signal: Grid, weights: np.ndarray, tile: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- distance transform
+#: Cells of a strip of whole rows that one task settles.
+STRIP = 1 << 16
+
+
 def distance_transform_edt(region: Grid, sampling: tuple[float, float] = (1.0, 1.0)) -> Grid:
     """Exact Euclidean distance to the nearest cell that is neither 0 nor nodata.
 
-    Two separable passes: along columns the nearest region row by window functions, along rows
-    the lower envelope of parabolas.  Without any region cell all values are NULL.
+    Strips of whole rows are settled each in one go: along columns the nearest region row lies in
+    the strip, or is the last one above or the first one below it; along rows the lower envelope of
+    parabolas.  What lies above and below is found on a row per strip and column.  Without any
+    region cell all values are NULL.
     """
     if not (isinstance(sampling, tuple) and len(sampling) == 2 and all(s > 0 for s in sampling)):
         raise ValueError("sampling must be a tuple of two positive numbers (x, y)")
     sx, sy = float(sampling[0]), float(sampling[1])
-    hit = F.when(F.col("v").isNotNull() & (F.col("v") != 0), F.col("y"))
-    down = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
-    column = region.px.select("y", "x", F.least(F.col("y") - F.last(hit, True).over(down), F.first(hit, True).over(up) - F.col("y")).cast("double").alias("g"))
-
-    def envelope(key: tuple, table: pa.Table) -> pa.Table:
-        x, g = table["x"].to_numpy(), table["g"].to_numpy(zero_copy_only=False).astype(float)
-        order = np.argsort(x)
-        x, g = x[order].astype(float), g[order] * sy
-        at, height = x[~np.isnan(g)] * sx, g[~np.isnan(g)] ** 2
-        if not len(at):
-            return pa.table({"y": table["y"], "x": x.astype(np.int64), "v": pa.nulls(len(x), pa.float64())})
-        kept, cuts = [0], [-np.inf]
-        for i in range(1, len(at)):
-            while True:
-                j = kept[-1]
-                cut = (height[i] + at[i] ** 2 - height[j] - at[j] ** 2) / (2 * (at[i] - at[j]))
-                if cut > cuts[-1]:
-                    break
-                kept.pop()
-                cuts.pop()
-            kept.append(i)
-            cuts.append(cut)
-        own = np.array(kept)[np.searchsorted(np.array(cuts), x * sx, side="right") - 1]
-        return pa.table({"y": table["y"], "x": x.astype(np.int64), "v": np.sqrt((x * sx - at[own]) ** 2 + height[own])})
-
-    px = column.groupBy("y").applyInArrow(envelope, "y long, x long, v double")
+    n_rows, n_cols, rows = region.n_rows, region.n_cols, max(1, STRIP // region.n_cols)
+    last = (n_rows - 1) // rows
+    cells = region.px.select(F.expr(f"y div {rows}").alias("strip"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col("v").isNotNull() & (F.col("v") != 0)).cast("int").alias("kind"))
+    own = cells.filter("kind = 1").groupBy("x", "strip").agg(F.min("y").alias("first"), F.max("y").alias("last"))
+    order = Window.partitionBy("x").orderBy("strip")
+    own = own.withColumns({"before": F.coalesce(F.lag("strip").over(order), F.lit(0)), "after": F.coalesce(F.lead("strip").over(order), F.lit(last))})
+    below = own.filter("strip > before").select(F.explode(F.sequence("before", F.col("strip") - 1)).alias("strip"), F.col("first").alias("y"), "x", F.lit(2).alias("kind"))
+    above = own.filter("after > strip").select(F.explode(F.sequence(F.col("strip") + 1, "after")).alias("strip"), F.col("last").alias("y"), "x", F.lit(2).alias("kind"))
+
+    def nearest(key: tuple, table: pa.Table) -> pa.Table:
+        y, x, kind = (table[c].to_numpy() for c in ("y", "x", "kind"))
+        y0 = key[0].as_py() * rows
+        h = min(rows, n_rows - y0)
+        at_row = np.arange(y0, y0 + h, dtype=float)[:, None]
+        up, down = np.full((h + 1, n_cols), -np.inf), np.full((h + 1, n_cols), np.inf)
+        hit, far = kind == 1, kind == 2
+        up[y[hit] - y0 + 1, x[hit]] = down[y[hit] - y0, x[hit]] = y[hit]
+        over, under = far & (y < y0), far & (y >= y0 + h)
+        up[0, x[over]], down[h, x[under]] = y[over], y[under]
+        g = np.minimum(at_row - np.maximum.accumulate(up)[1:], np.minimum.accumulate(down[::-1])[::-1][:-1] - at_row)
+        some = np.flatnonzero(np.isfinite(g[0]))  # a column has a region cell or not, in all rows alike
+        mine = kind < 2
+        if not len(some):
+            return pa.table({"y": y[mine], "x": x[mine], "v": pa.nulls(int(mine.sum()), pa.float64())})
+        where, at = np.arange(n_cols) * sx, some * sx
+        height = (g[:, some] * sy) ** 2
+        v = np.empty((h, n_cols))
+        for r in range(h):
+            kept = _envelope(at, height[r])
+            own = kept[0][np.searchsorted(kept[1], where, side="right") - 1]
+            v[r] = np.sqrt((where - at[own]) ** 2 + height[r][own])
+        return pa.table({"y": y[mine], "x": x[mine], "v": v[y[mine] - y0, x[mine]]})
+
+    px = cells.unionByName(below).unionByName(above).groupBy("strip").applyInArrow(nearest, "y long, x long, v double")
     return region.with_px(px, dtype="float32", nodata=-1.0)
 
 
+def _envelope(at: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which parabolas over ``at`` are lowest somewhere, and from where on each is."""
+    x, square, high = at.tolist(), (at**2).tolist(), height.tolist()
+    kept, cuts = [0], [-math.inf]
+    for i in range(1, len(x)):
+        while True:
+            j = kept[-1]
+            cut = (high[i] + square[i] - high[j] - square[j]) / (2 * (x[i] - x[j]))
+            if cut > cuts[-1]:
+                break
+            kept.pop()
+            cuts.pop()
+        kept.append(i)
+        cuts.append(cut)
+    return np.array(kept), np.array(cuts)
+
+
 # ---------------------------------------------------------------- overviews
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "average": F.avg,

@@ -122,6 +122,20 @@ def test_distance_transform(spark):
     assert np.allclose(out, want)
 
 
+def test_distance_transform_over_strips(spark, monkeypatch):
+    monkeypatch.setattr(focal, "STRIP", 30)  # strips of two rows
+    a = np.zeros((41, 15))
+    for y, x in ((6, 3), (7, 7), (31, 14)):
+        a[y, x] = 1
+    out = focal.distance_transform_edt(grid(spark, a), (2.0, 1.5))
+    yy, xx = np.mgrid[:41, :15]
+    want = np.min([np.hypot((xx - x) * 2.0, (yy - y) * 1.5) for y, x in ((6, 3), (7, 7), (31, 14))], axis=0)
+    assert np.allclose(to_array(out), want)
+    plan = out.px._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()  # a window to the end of a column takes the square of its rows
+    assert np.isnan(to_array(focal.distance_transform_edt(grid(spark, np.zeros((5, 15)))), np.nan)).all()
+
+
 def test_boxes(spark):
     assert grids.align_bbox((0, 1, 0, 0, 0, 1), [0.5, 1.7, 2.1, 3.4]) == [0, 1, 3, 4]
     g = grids.grid_from_box(spark, [0, 0, 100, 145], (10, -10))
