@@ -180,6 +180,47 @@ def test_polygonize_holes(spark):
     assert wkb.area(*wkb.read(rows[1].geom)) == 96
 
 
+@pytest.mark.parametrize("one_task", [True, False])
+def test_polygonize_over_strips(spark, monkeypatch, one_task):
+    from gridspark.plans import iterate
+
+    monkeypatch.setattr(vector, "STRIP", 1)  # strips of 16 rows
+    if not one_task:
+        monkeypatch.setattr(iterate, "ONE_TASK", 0)
+    a = np.zeros((50, 9))  # an island with a hole in a lake on land, across the strips
+    a[1:49, 1:8], a[3:47, 2:7], a[5:45, 3:6], a[20, 4], a[30:33, 4] = 1, 0, 1, 0, 2
+    a[0, 0] = 1  # touches the land by a corner
+    g = grid(spark, a, pixel_size=(2.0, -2.0), origin=(0.0, 0.0))
+    cells = g.px.select("y", "x", F.col("v").cast("int").cast("string").alias("c")).withColumn("c", F.when(F.col("c") != "2", F.col("c")))
+    rows = {r.label: r for r in vector.polygonize(cells, "c", g).collect()}
+    assert {k: r.area for k, r in rows.items()} == {"1": 4.0 * (a == 1).sum(), "0": 4.0 * (a == 0).sum(), None: 12.0}
+    for label, r in rows.items():
+        _, parts = wkb.read(r.geom)
+        mine = a == (2 if label is None else int(label))
+        seg = wkb.segments(wkb.MULTI_POLYGON, parts)
+        assert all(wkb.inside(seg, 2 * x + 1, -2 * y - 1) == mine[y, x] for y in range(50) for x in range(9))
+        assert wkb.area(wkb.MULTI_POLYGON, parts) == r.area
+        assert all((ring[0] == ring[-1]).all() for part in parts for ring in part)
+        for part in parts:  # a hole lies in its polygon's outer ring, and in no smaller one
+            for hole in part[1:]:
+                y, x = hole[:, 1].max() - 0.1, hole[hole[:, 1].argmax(), 0] + 0.1
+                around = [p[0] for p in parts if wkb.inside(wkb.segments(wkb.POLYGON, [p[:1]]), x, y)]
+                assert min(around, key=lambda o: np.ptp(o[:, 0])) is part[0]
+    assert sorted(len(p) for p in wkb.read(rows["1"].geom)[1]) == [1, 2, 3]
+
+
+def test_watersheds_that_overlap_have_whole_polygons(spark):
+    g = grid(spark, np.zeros((3, 4)))
+    cells = spark.createDataFrame([(w, y, x) for w in (1, 2) for y in range(3) for x in range(w + 1)], "w long, y long, x long")
+    assert {r.label: r.area for r in vector.polygonize(cells, "w", g).collect()} == {1: 6.0, 2: 9.0}
+
+
+def test_polygonize_takes_no_label_in_one_task(spark):
+    g = grid(spark, np.ones((4, 4)))
+    plan = vector.polygonize(g.px.select("y", "x", F.col("v").alias("c")), "c", g).select("label", "area")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "listagg" not in plan
+
+
 def test_the_driver_collects_its_garbage(spark, monkeypatch):
     from gridspark.plans import iterate
 
