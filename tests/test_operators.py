@@ -221,6 +221,14 @@ def test_polygonize_takes_no_label_in_one_task(spark):
     assert "InPandas" not in plan and "listagg" not in plan
 
 
+def test_streams_ask_for_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(flow, "edges_mfd", None)  # a row per cell and direction
+    dem = grid(spark, np.add.outer(np.arange(6.0), np.arange(5.0) % 2))
+    mfd = flow.flow_dir_mfd(dem)
+    out = to_array(flow.extract_streams_mfd(flow.flow_accumulation_mfd(mfd), mfd, 3, 0.5))
+    assert out.max() == 1 and out[5].max() == 0
+
+
 def test_the_driver_collects_its_garbage(spark, monkeypatch):
     from gridspark.plans import iterate
 
